@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keystrata.functions.bounded import broadcast_if_small
 from keystrata.sources.shared import SharedFiles
 
 
@@ -41,12 +42,13 @@ def pending_records(
     A copy without an arrival time counts as never carried.  Rows without a key or sequence name no record.
 
     Copies are reduced to their first arrival before the shuffle; what is shuffled is a few numbers per record.
+    The runs go to all tasks if they are few, as they are one per key; a hot key's records then stay spread.
     """
     rows = records.where(F.col(sequence).isNotNull()).dropna(subset=keys)
     if until is not None:
         rows = rows.where(F.col(arrived).isNull() | (F.col(arrived) <= F.lit(until)))
     first = rows.groupBy(*keys, sequence).agg(F.min(arrived).alias("first_arrival"))
-    joined = first.join(runs, keys, "left")
+    joined = first.join(broadcast_if_small(runs), keys, "left")
     pending = (
         F.col("since").isNull()
         | F.coalesce(F.col(sequence) > F.col("watermark"), F.lit(False))

@@ -1,7 +1,7 @@
 """All queries of this subpackage and the SQL of those that SQL can express."""
 
-from keystrata.llm import keys
+from keystrata.llm import keys, texts
 
-MODULES = [keys]
+MODULES = [keys, texts]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keystrata.functions.bounded import use_all_cores
 from keystrata.llm.subtitles import is_word, skeleton, spoken
 from keystrata.sources.shared import shared_dir
 
@@ -183,7 +184,7 @@ def find_leaks(
     Items are the stated query set.  They are taken in blocks of ``block_items``; each block goes once over all
     documents to count its terms and once to index them, and the index is written to the shared folder.
     """
-    rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).dropna()
+    rows = use_all_cores(docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).dropna())
     id_type = rows.schema["id"].dataType.simpleString()
     asked = items.select(F.col(item).cast("long").alias("item"), F.col(passage).alias("passage")).dropna()
     total = asked.count()

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keystrata.functions.bounded import use_all_cores
 from keystrata.llm.subtitles import is_word, skeleton, spoken
 from keystrata.sources.shared import shared_dir
 
@@ -178,7 +179,7 @@ def reading_levels(
 
     Two passes over the texts; the measures, a few numbers per document, are written to the shared folder.
     """
-    rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).dropna()
+    rows = use_all_cores(docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).dropna())
     id_type = rows.schema["id"].dataType.simpleString()
     familiar = familiar_words(document_frequencies(rows, min_words), familiar_share)
     path = shared_dir(spark, "measures")

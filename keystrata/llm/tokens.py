@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keystrata.functions.bounded import use_all_cores
+
 #: Folder of the vocabulary files.
 TOKENIZER_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -40,5 +42,5 @@ def token_counts(df: DataFrame, key: str, text: str, folder: str = TOKENIZER_DIR
             sizes = [len(encode(t.as_py())) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=[key, "n_tokens"])
 
-    rows = df.select(key, F.col(text).cast("string").alias(text)).dropna()
+    rows = use_all_cores(df.select(key, F.col(text).cast("string").alias(text)).dropna())
     return rows.mapInArrow(count, f"`{key}` {rows.schema[key].dataType.simpleString()}, n_tokens bigint")

@@ -5,30 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Classes hold 1 to this many items; above, the counts grow by ``CLASS_GROWTH``.
-EXACT_CLASSES = 32
-CLASS_GROWTH = 1.05
+#: Number of classes.  Class k below the last takes k items per container; the last takes all smaller items.
+CLASSES = 32
 #: Items of a worker; each worker leaves at most one container per class partly filled.
 WORKER_ITEMS = 100_000
 
 
-def class_counts(capacity: int) -> list[int]:
-    """How many items a container of each class holds: reciprocals of the classes' largest sizes."""
-    out = list(range(1, min(EXACT_CLASSES, capacity) + 1))
-    while out[-1] < capacity:
-        out.append(min(capacity, max(out[-1] + 1, int(out[-1] * CLASS_GROWTH))))
-    return out
-
-
-def _at_most(number: Column, counts: list[int]) -> Column:
-    """The greatest class count not above ``number``."""
-    return F.array_max(F.filter(F.array(*[F.lit(c) for c in counts]), lambda c: c <= number))
-
-
-def _at_least(number: Column, counts: list[int]) -> Column:
-    return F.array_min(F.filter(F.array(*[F.lit(c) for c in counts]), lambda c: c >= number))
-
-
 def pieces(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     """Items of at most ``capacity``: (key, piece_no, start, size).
 
@@ -45,34 +27,46 @@ def pack(sizes: DataFrame, key: str, size: str, capacities: dict[int, int], *, w
 
     ``capacities`` maps a spec to its capacity.  Harmonic packing: an item of more than 1/(k+1) and at most 1/k of
     the capacity is of class k, and k items of a class fill a container whatever their sizes, so containers are
-    numbered by counting.  Items are spread over workers by a hash of their key, and each worker counts for itself.
+    numbered by counting.  The last class, of at most 1/``CLASSES``, is numbered by running sums: a container takes
+    the items that begin within its capacity less the largest of that class.  Items are spread over workers by a
+    hash of their key, and each worker counts for itself.
     What an item of more than half leaves free takes one item of the class whose largest size fits there: the i-th
     such item of a worker takes the i-th item of that class, and the rest of the class goes to containers of its own.
 
-    Items of size 0 count as the smallest class.  Negative sizes are none and are left out.
+    Items of size 0 are of the last class.  Negative and null sizes and null keys are none and are left out.
     """
     parts = None
     for spec, capacity in capacities.items():
-        counts = class_counts(capacity)
+        classes = min(CLASSES, capacity)
         own = pieces(sizes.where(F.col(size) >= 0), key, size, capacity)
-        k = _at_most(F.floor(F.lit(capacity) / F.greatest(F.col("size"), F.lit(1))), counts)
+        k = F.least(F.floor(F.lit(capacity) / F.greatest(F.col("size"), F.lit(1))), F.lit(classes))
         free = F.lit(capacity) - F.col("size")
-        host = (k == 1) & (free > 0)
+        j = F.ceil(F.lit(capacity) / F.when(free > 0, free))
+        host = (k == 1) & (free > 0) & (j < classes)
         own = own.select(
-            F.lit(spec).alias("spec_id"), key, "piece_no", "start", "size", k.alias("k"), host.alias("host"),
-            F.when(host, _at_least(F.ceil(F.lit(capacity) / free), counts)).otherwise(k).alias("j"),
+            F.lit(spec).alias("spec_id"), key, "piece_no", "start", "size", k.alias("k"),
+            F.coalesce(host, F.lit(False)).alias("host"), F.when(host, j).otherwise(k).alias("j"),
+            F.lit(classes).alias("classes"), F.lit(capacity - capacity // classes).alias("room"),
         )
         parts = own if parts is None else parts.unionByName(own)
     total = sizes.count()
     workers = max(1, -(-total // worker_items))
     spread = parts.withColumn("worker", F.pmod(F.xxhash64(key, "piece_no"), F.lit(workers))).repartition("spec_id", "worker", "j")
     place = ["spec_id", "worker", "j"]
-    nth = Window.partitionBy(*place, "host").orderBy(key, "piece_no")
-    hosts = F.count_if("host").over(Window.partitionBy(*place))
-    numbered = spread.withColumn("nth", F.row_number().over(nth) - 1).withColumn("hosts", hosts)
-    # full items (k = 1, nothing free) have class 1, where no host looks for guests
-    guest = ~F.col("host") & (F.col("nth") < F.col("hosts")) & (F.col("j") > 1)
+    in_order = Window.partitionBy(*place, "host").orderBy(key, "piece_no")
+    before = F.coalesce(F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = spread.select(
+        "*",
+        (F.row_number().over(in_order) - 1).alias("nth"),
+        F.when(F.col("k") == F.col("classes"), before).alias("before"),
+        F.count_if("host").over(Window.partitionBy(*place)).alias("hosts"),
+    )
+    guest = ~F.col("host") & (F.col("nth") < F.col("hosts"))
     shared = F.col("host") | guest
-    number = F.when(shared, F.col("nth")).otherwise(F.floor((F.col("nth") - F.when(F.col("j") > 1, F.col("hosts")).otherwise(0)) / F.col("k")))
+    number = (
+        F.when(shared, F.col("nth"))
+        .when(F.col("before").isNotNull(), F.floor(F.col("before") / F.greatest(F.col("room"), F.lit(1))))
+        .otherwise(F.floor((F.col("nth") - F.col("hosts")) / F.col("k")))
+    )
     name = F.concat_ws("-", F.col("worker"), F.when(shared, "h").otherwise("c"), F.col("j"), number)
     return numbered.select("spec_id", name.alias("container_id"), key, "piece_no", "start", "size")

@@ -159,7 +159,11 @@ def seen_before(
         "row_no",
     )
     new = checked.groupBy(source, *entity, "settled").agg(F.min("row_no").alias("row_no")).select(source, "row_no")
-    return rows.select(source, F.col(order).alias("row_no")).join(new, [source, "row_no"], "left_anti")
+    # an anti-join written as an aggregation: it sorts nothing, and the filters' part of the plan runs once
+    marked = rows.select(source, F.col(order).alias("row_no"), F.lit(False).alias("new")).unionByName(
+        new.withColumn("new", F.lit(True))
+    )
+    return marked.groupBy(source, "row_no").agg(F.bool_or("new").alias("new")).where(~F.col("new")).select(source, "row_no")
 
 
 def error_rates(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Number of classes.  Class k below the last takes k items per container; the last takes all smaller items.
@@ -11,15 +11,17 @@ CLASSES = 32
 WORKER_ITEMS = 100_000
 
 
-def pieces(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
-    """Items of at most ``capacity``: (key, piece_no, start, size).
+def pieces(sizes: DataFrame, key: str, size: str, capacities: dict[int, int]) -> DataFrame:
+    """Items of at most the capacity, for each specification: (spec_id, capacity, key, piece_no, start, size).
 
     Only what is longer than the capacity is divided, into full pieces and a last one of what remains.
     """
-    last = F.greatest(F.ceil(F.col(size) / F.lit(capacity)) - 1, F.lit(0))
-    cut = sizes.dropna(subset=[key, size]).select(key, F.col(size).alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece_no"))
-    start = F.col("piece_no") * capacity
-    return cut.select(key, "piece_no", start.alias("start"), F.least(F.col("n") - start, F.lit(capacity)).alias("size"))
+    specs = F.array(*[F.struct(F.lit(i).alias("spec_id"), F.lit(c).cast("long").alias("capacity")) for i, c in capacities.items()])
+    each = sizes.dropna(subset=[key, size]).select(key, F.col(size).alias("n"), F.explode(specs).alias("spec")).select(key, "n", "spec.*")
+    last = F.greatest(F.ceil(F.col("n") / F.col("capacity")) - 1, F.lit(0))
+    cut = each.withColumn("piece_no", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    start = F.col("piece_no") * F.col("capacity")
+    return cut.select("spec_id", "capacity", key, "piece_no", start.alias("start"), F.least(F.col("n") - start, F.col("capacity")).alias("size"))
 
 
 def pack(sizes: DataFrame, key: str, size: str, capacities: dict[int, int], *, worker_items: int = WORKER_ITEMS) -> DataFrame:
@@ -35,22 +37,18 @@ def pack(sizes: DataFrame, key: str, size: str, capacities: dict[int, int], *, w
 
     Items of size 0 are of the last class.  Negative and null sizes and null keys are none and are left out.
     """
-    parts = None
-    for spec, capacity in capacities.items():
-        classes = min(CLASSES, capacity)
-        own = pieces(sizes.where(F.col(size) >= 0), key, size, capacity)
-        k = F.least(F.floor(F.lit(capacity) / F.greatest(F.col("size"), F.lit(1))), F.lit(classes))
-        free = F.lit(capacity) - F.col("size")
-        j = F.ceil(F.lit(capacity) / F.when(free > 0, free))
-        host = (k == 1) & (free > 0) & (j < classes)
-        own = own.select(
-            F.lit(spec).alias("spec_id"), key, "piece_no", "start", "size", k.alias("k"),
-            F.coalesce(host, F.lit(False)).alias("host"), F.when(host, j).otherwise(k).alias("j"),
-            F.lit(classes).alias("classes"), F.lit(capacity - capacity // classes).alias("room"),
-        )
-        parts = own if parts is None else parts.unionByName(own)
-    total = sizes.count()
-    workers = max(1, -(-total // worker_items))
+    capacity = F.col("capacity")
+    classes = F.least(F.lit(CLASSES), capacity)
+    k = F.least(F.floor(capacity / F.greatest(F.col("size"), F.lit(1))), classes)
+    free = capacity - F.col("size")
+    j = F.ceil(capacity / F.when(free > 0, free))
+    host = (k == 1) & (free > 0) & (j < classes)
+    parts = pieces(sizes.where(F.col(size) >= 0), key, size, capacities).select(
+        "spec_id", key, "piece_no", "start", "size", k.alias("k"),
+        F.coalesce(host, F.lit(False)).alias("host"), F.when(host, j).otherwise(k).alias("j"),
+        classes.alias("classes"), (capacity - F.floor(capacity / classes)).alias("room"),
+    )
+    workers = max(1, -(-sizes.count() // worker_items))
     spread = parts.withColumn("worker", F.pmod(F.xxhash64(key, "piece_no"), F.lit(workers))).repartition("spec_id", "worker", "j")
     place = ["spec_id", "worker", "j"]
     in_order = Window.partitionBy(*place, "host").orderBy(key, "piece_no")

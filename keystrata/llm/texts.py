@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.llm import leak, packing, reading, tokens
+from keystrata.sources.shared import shared_dir
 from keystrata.sources.tables import table
 
 #: Specifications that one run packs for, at most.
@@ -17,7 +18,10 @@ def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[int, int]
     if len(rows) > MAX_SPECS:
         raise ValueError(f"pack for at most {MAX_SPECS} specifications at once")
     capacities = {r["spec_id"]: r["capacity_tokens"] for r in rows}
-    sizes = tokens.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    # texts are counted once; the counts, two numbers per document, are read for each use
+    path = shared_dir(spark, "token-counts")
+    tokens.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text").write.parquet(path)
+    sizes = spark.read.parquet(path)
     return packing.pack(sizes, "doc_id", "n_tokens", capacities), capacities
 
 

@@ -64,6 +64,7 @@ class IncrementalLoad:
     commits both by one atomic step: the creation of the next numbered manifest, which names that folder.  A run
     that fails before leaves only a folder that nobody reads; a run repeated after a failure starts from the last
     manifest.  Of two runs at once only one can create the manifest, the other fails and carries nothing.
+    A copy without an arrival time waits until a copy with one arrives.
     """
 
     def __init__(self, spark: SparkSession, root: str, keys: list[str], sequence: str, arrived: str):

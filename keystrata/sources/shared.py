@@ -18,18 +18,14 @@ def shared_dir(spark: SparkSession, label: str) -> str:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = set_dir.get() if set_dir.isDefined() else None
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="keystrata-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Set the checkpoint folder where the session has none."""
-    shared_dir(spark, "probe")
-
-
 class SharedFiles:
     """The few file operations that commit protocols need, on whatever file system the path names."""
 

@@ -181,7 +181,10 @@ def reading_levels(
     """
     rows = use_all_cores(docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).dropna())
     id_type = rows.schema["id"].dataType.simpleString()
-    familiar = familiar_words(document_frequencies(rows, min_words), familiar_share)
+    # both tables are read more than once: written, the texts are not gone over again
+    path = shared_dir(spark, "frequencies")
+    document_frequencies(rows, min_words).write.parquet(path)
+    familiar = familiar_words(spark.read.parquet(path), familiar_share)
     path = shared_dir(spark, "measures")
     features(rows, familiar, id_type, min_words).write.parquet(path)
     measured = spark.read.parquet(path)

@@ -543,7 +543,7 @@ def cdc_key_range(spark, sf_dir):
   WINDOW w AS (PARTITION BY c.store_id, c.run_id, g.block_no ORDER BY c.key, c.sequence DESC)
 ), h AS (SELECT *, CASE WHEN nth % 16 = 0 OR before IS NULL THEN '' ELSE hex(before) END AS b, hex(key) AS a FROM o),
 p AS (SELECT *, least(length(a), length(b)) // 2 AS n FROM h),
-shares AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE coalesce(list_position(list_transform(range(n), i -> substr(a, 2 * i + 1, 2) = substr(b, 2 * i + 1, 2)), false) - 1, n) END AS shared FROM p)
+shares AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE coalesce(list_position(list_transform(range(n), lambda i: substr(a, 2 * i + 1, 2) = substr(b, 2 * i + 1, 2)), false) - 1, n) END AS shared FROM p)
 SELECT store_id, run_id, count(*) AS entries, CAST(sum(octet_length(key)) AS BIGINT) AS key_bytes, CAST(sum(shared) AS BIGINT) AS shared_bytes
 FROM shares GROUP BY ALL""")
 def prefix_encoding_stats(spark, sf_dir):

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from keystrata.sources.shared import SharedFiles, shared_dir
 
-#: Files that one batch takes from a folder.
-FILES_PER_BATCH = 32
-
 #: How operations are written, after trimming and lower-casing.
 PUT_NAMES = ["put", "0"]
 DELETE_NAMES = ["del", "1"]
@@ -116,13 +113,23 @@ def rebuild_from_files(
     sequence: str = "sequence",
     tombstone: str = "tombstone",
     value: str = "value",
-    files_per_batch: int = FILES_PER_BATCH,
+    files_per_batch: int | None = None,
 ) -> DataFrame:
-    """Run the change feed of a Parquet file or folder through the operator and return the live rows."""
+    """Run the change feed of a Parquet file or folder through the operator and return the live rows.
+
+    A batch takes as much as one round of tasks reads, or ``files_per_batch`` files, so batches grow with the
+    cluster and their number does not grow with the feed alone.
+    """
     schema = spark.read.parquet(path).schema
     # a stream reads a folder; a single file is named by a pattern that only it matches
     watched = f"{path[:-1]}[{path[-1]}]" if SharedFiles(spark, path).is_file() else path
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(watched)
+    source = spark.readStream.schema(schema)
+    if files_per_batch:
+        source = source.option("maxFilesPerTrigger", files_per_batch)
+    else:
+        split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+        source = source.option("maxBytesPerTrigger", split * spark.sparkContext.defaultParallelism)
+    stream = source.parquet(watched)
     changes = change_rows(stream, keys, op, sequence, tombstone, value)
     work = shared_dir(spark, "changes")
     apply_changes(spark, changes, list(keys), f"{work}/upserts", f"{work}/state")

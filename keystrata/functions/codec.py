@@ -164,9 +164,12 @@ def interleave(a: Column, b: Column, bits: int = 31) -> Column:
     """Z-order: the low ``bits`` bits of two non-negative numbers, taken in turn; ``a`` has the lower of each pair."""
 
     def spread(x: Column) -> Column:
-        x = x.cast("long").bitwiseAND(F.lit((1 << bits) - 1))
-        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-            x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
-        return x
+        # one term per bit: a fold by masks would name its operand twice in each step
+        x = x.cast("long")
+        terms = [F.shiftleft(F.shiftright(x, i).bitwiseAND(F.lit(1).cast("long")), 2 * i) for i in range(bits)]
+        out = terms[0]
+        for term in terms[1:]:
+            out = out.bitwiseOR(term)
+        return out
 
     return spread(a).bitwiseOR(F.shiftleft(spread(b), 1))

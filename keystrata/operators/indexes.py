@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keystrata.functions.bounded import use_all_cores
 from keystrata.functions.codec import interleave
 
 #: Query vectors that a task multiplies at once.
@@ -21,7 +22,7 @@ def secondary_index(df: DataFrame, attribute: str, key: str) -> DataFrame:
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
     """Inverted index: (term, key, count) over lower-case ASCII words of whole texts."""
     terms = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
-    return df.where(F.col(key).isNotNull()).select(key, F.explode(terms).alias("term")).groupBy("term", key).agg(F.count("*").alias("n"))
+    return use_all_cores(df.where(F.col(key).isNotNull()).select(key, text)).select(key, F.explode(terms).alias("term")).groupBy("term", key).agg(F.count("*").alias("n"))
 
 
 def nearest(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -85,7 +86,7 @@ def box(df: DataFrame, a: str, b: str, low: tuple[int, int], high: tuple[int, in
         return sum(((x >> i & 1) << (2 * i)) | ((y >> i & 1) << (2 * i + 1)) for i in range(31))
 
     inside = F.col(a).between(low[0], high[0]) & F.col(b).between(low[1], high[1])
-    return df.where(F.col("z").between(code(*low), code(*high)) & inside)
+    return df.where(inside & F.col("z").between(code(*low), code(*high)))
 
 
 def shard_of(key: Column, shards: int) -> Column:

@@ -14,11 +14,12 @@ INTERNAL_KEY_BYTES = 17
 HEAD_BYTES, NODE_BYTES = 108, 20
 
 
-def change_log(df: DataFrame) -> DataFrame:
-    """Records as they were written: store_id, sequence, key, value, tombstone, op.
+def changes(df: DataFrame) -> DataFrame:
+    """Records as they were delivered: store_id, sequence, key, value, tombstone, op.
 
-    Spellings of ``op`` are united, a delete's value is empty, never null, and copies of a record become one.
-    Rows without store, sequence or key are no records.  Timestamps are advisory and take no part.
+    Spellings of ``op`` are united, and a delete's value is empty, never null.  Rows without store, sequence or key
+    are no records.  Timestamps are advisory and take no part.  Copies are left in: reads by sequence are the same
+    with them, and need no shuffle to drop them.
     """
     rows = df.dropna(subset=["store_id", "sequence", "key"])
     deleted = is_delete(F.col("op"), F.col("tombstone"))
@@ -31,13 +32,17 @@ def change_log(df: DataFrame) -> DataFrame:
             F.when(deleted, empty).otherwise(F.coalesce("value", empty)).alias("value"),
             deleted.alias("tombstone"),
         )
-        .distinct()
         .withColumn("op", F.when(F.col("tombstone"), "del").otherwise("put"))
     )
 
 
-def entries_of_runs(df: DataFrame) -> DataFrame:
-    """Entries of sorted runs: store_id, run_id, level, key, sequence, tombstone, value; copies in a run are one."""
+def change_log(df: DataFrame) -> DataFrame:
+    """Records as they were written: like ``changes``, with copies of a record made one."""
+    return changes(df).distinct()
+
+
+def delivered_entries(df: DataFrame) -> DataFrame:
+    """Entries of sorted runs: store_id, run_id, level, key, sequence, tombstone, value; copies are left in."""
     dead = F.coalesce("tombstone", F.lit(False))
     return (
         df.dropna(subset=["store_id", "run_id", "user_key", "sequence"])
@@ -50,10 +55,14 @@ def entries_of_runs(df: DataFrame) -> DataFrame:
             dead.alias("tombstone"),
             F.when(dead, F.lit(b"")).otherwise(F.coalesce("value", F.lit(b""))).alias("value"),
         )
-        .distinct()
     )
 
 
+def entries_of_runs(df: DataFrame) -> DataFrame:
+    """Like ``delivered_entries``, with copies in a run made one."""
+    return delivered_entries(df).distinct()
+
+
 def next_sequence(*logs: DataFrame) -> DataFrame:
     """Per store the sequence that the next write gets: one above all of the log and the runs, 1 for an empty store."""
     union = None

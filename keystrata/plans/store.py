@@ -45,6 +45,16 @@ def runs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changelog.entries_of_runs(table(spark, sf_dir, "internal_key"))
 
 
+def changes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with its copies, for reads that they do not alter."""
+    return changelog.changes(table(spark, sf_dir, "wal_entry"))
+
+
+def delivered_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs' entries with their copies, for merges that they do not alter."""
+    return changelog.delivered_entries(table(spark, sf_dir, "internal_key"))
+
+
 def shown(df: DataFrame, *names: str) -> DataFrame:
     """The columns with keys and values in hexadecimal."""
     hidden = {"key": "key_hex", "value": "value_hex", "smallest_key": "smallest_key_hex"}
@@ -70,13 +80,13 @@ def query(sql: str | None = None):
 @query(f"WITH {LATEST_CTE} SELECT store_id, hex(key) AS key_hex, hex(value) AS value_hex FROM latest WHERE NOT tombstone")
 def kv_latest(spark, sf_dir):
     """The current content of every store."""
-    return shown(reads.live(log_of(spark, sf_dir)), "store_id", "key", "value")
+    return shown(reads.live(changes_of(spark, sf_dir)), "store_id", "key", "value")
 
 
 @query(f"WITH {LATEST_CTE} SELECT store_id, hex(key) AS key_hex, sequence, tombstone FROM latest")
 def kv_entries_with_tombstones(spark, sf_dir):
     """Newest entries, deletes included."""
-    return shown(reads.newest(log_of(spark, sf_dir)), "store_id", "key", "sequence", "tombstone")
+    return shown(reads.newest(changes_of(spark, sf_dir)), "store_id", "key", "sequence", "tombstone")
 
 
 GET_SQL = f"""WITH {LATEST_CTE}, s AS (SELECT DISTINCT store_id FROM log)
@@ -87,19 +97,19 @@ FROM s LEFT JOIN latest l ON l.store_id = s.store_id AND l.key = '%s'::BLOB AND
 @query(GET_SQL % (SHARED_KEY.decode(), SHARED_KEY.decode()))
 def kv_get(spark, sf_dir):
     """A key that all stores have."""
-    return shown(reads.get(log_of(spark, sf_dir), SHARED_KEY), "store_id", "key", "status", "value")
+    return shown(reads.get(changes_of(spark, sf_dir), SHARED_KEY), "store_id", "key", "status", "value")
 
 
 @query(GET_SQL % ("", ""))
 def kv_get_empty_key(spark, sf_dir):
     """The empty key, which is a key like any other."""
-    return shown(reads.get(log_of(spark, sf_dir), b""), "store_id", "key", "status", "value")
+    return shown(reads.get(changes_of(spark, sf_dir), b""), "store_id", "key", "status", "value")
 
 
 @query(GET_SQL % (ABSENT_KEY.decode(), ABSENT_KEY.decode()))
 def kv_get_missing(spark, sf_dir):
     """A key that no store has."""
-    return shown(reads.get(log_of(spark, sf_dir), ABSENT_KEY), "store_id", "key", "status", "value")
+    return shown(reads.get(changes_of(spark, sf_dir), ABSENT_KEY), "store_id", "key", "status", "value")
 
 
 @query(f"""WITH {LATEST_CTE}, p AS (SELECT DISTINCT store_id, smallest_key AS key FROM index_entry WHERE smallest_key IS NOT NULL)
@@ -108,7 +118,7 @@ FROM p LEFT JOIN latest l ON l.store_id = p.store_id AND l.key = p.key AND NOT l
 def kv_multi_get(spark, sf_dir):
     """The keys with which blocks begin, looked up in the log."""
     probes = table(spark, sf_dir, "index_entry").select("store_id", F.col("smallest_key").alias("key")).dropna()
-    return shown(reads.multi_get(log_of(spark, sf_dir), probes), "store_id", "key", "status", "value")
+    return shown(reads.multi_get(changes_of(spark, sf_dir), probes), "store_id", "key", "status", "value")
 
 
 @query(f"""WITH {LOG_CTE} SELECT store_id, count(*) AS writes, count(DISTINCT key) AS distinct_keys, min(sequence) AS min_sequence,
@@ -139,7 +149,7 @@ def kv_next_sequence(spark, sf_dir):
 HAVING NOT arg_max(tombstone, sequence) AND bool_or(tombstone)""")
 def kv_delete_then_put(spark, sf_dir):
     """Live keys that were deleted at some time before."""
-    grouped = log_of(spark, sf_dir).groupBy("store_id", "key").agg(
+    grouped = changes_of(spark, sf_dir).groupBy("store_id", "key").agg(
         F.max(F.struct("sequence", "tombstone")).alias("e"), F.bool_or("tombstone").alias("deleted")
     )
     return shown(grouped.where(F.col("deleted") & ~F.col("e.tombstone")), "store_id", "key")
@@ -322,8 +332,8 @@ def sst_index_lookup(spark, sf_dir):
 SELECT store_id, hex(key) AS key_hex, layer, sequence, tombstone FROM f WHERE n = 1""")
 def layered_get(spark, sf_dir):
     """Every key looked up in log, level 0 and deeper levels: the first layer that holds it decides."""
-    entries = runs_of(spark, sf_dir)
-    layers = [log_of(spark, sf_dir), entries.where(F.col("level") == 0), entries.where(F.coalesce(F.col("level"), F.lit(1)) != 0)]
+    entries = delivered_of(spark, sf_dir)
+    layers = [changes_of(spark, sf_dir), entries.where(F.col("level") == 0), entries.where(F.coalesce(F.col("level"), F.lit(1)) != 0)]
     return shown(reads.layered_get(layers), "store_id", "key", "layer", "sequence", "tombstone")
 
 
@@ -363,20 +373,20 @@ SCAN_SQL = f"WITH {LATEST_CTE} SELECT store_id, hex(key) AS key_hex, hex(value)
 @query(SCAN_SQL % "key >= 'blob/'::BLOB AND key < 'user/'::BLOB")
 def scan_range(spark, sf_dir):
     """Live keys from 'blob/' to before 'user/'."""
-    return shown(reads.scan(log_of(spark, sf_dir), b"blob/", b"user/"), "store_id", "key", "value")
+    return shown(reads.scan(changes_of(spark, sf_dir), b"blob/", b"user/"), "store_id", "key", "value")
 
 
 @query(SCAN_SQL % "key >= 'idx/'::BLOB AND key < 'idx0'::BLOB")
 def scan_prefix(spark, sf_dir):
     """Live keys that begin with 'idx/'."""
-    return shown(reads.scan(log_of(spark, sf_dir), b"idx/", reads.prefix_end(b"idx/")), "store_id", "key", "value")
+    return shown(reads.scan(changes_of(spark, sf_dir), b"idx/", reads.prefix_end(b"idx/")), "store_id", "key", "value")
 
 
 @query(f"""WITH {LATEST_CTE}, t AS (SELECT store_id, key FROM latest WHERE NOT tombstone ORDER BY key, store_id LIMIT {TOP})
 SELECT row_number() OVER (ORDER BY key, store_id) AS n, store_id, hex(key) AS key_hex FROM t""")
 def scan_limit(spark, sf_dir):
     """The first 100 live keys, numbered."""
-    first = reads.scan(log_of(spark, sf_dir), limit=TOP)
+    first = reads.scan(changes_of(spark, sf_dir), limit=TOP)
     return shown(first.withColumn("n", F.row_number().over(Window.orderBy("key", "store_id"))), "n", "store_id", "key")
 
 
@@ -384,7 +394,7 @@ def scan_limit(spark, sf_dir):
 SELECT row_number() OVER (ORDER BY key DESC, store_id) AS n, store_id, hex(key) AS key_hex FROM t""")
 def scan_reverse(spark, sf_dir):
     """The last 100 live keys, from the end."""
-    last = reads.scan(log_of(spark, sf_dir), reverse=True, limit=TOP)
+    last = reads.scan(changes_of(spark, sf_dir), reverse=True, limit=TOP)
     return shown(last.withColumn("n", F.row_number().over(Window.orderBy(F.col("key").desc(), "store_id"))), "n", "store_id", "key")
 
 
@@ -392,7 +402,7 @@ def scan_reverse(spark, sf_dir):
 WHERE NOT tombstone AND key >= 'idx/'::BLOB GROUP BY store_id""")
 def seek_key(spark, sf_dir):
     """Each store's first live key at or after 'idx/'."""
-    return shown(reads.seek(log_of(spark, sf_dir), b"idx/"), "store_id", "key")
+    return shown(reads.seek(changes_of(spark, sf_dir), b"idx/"), "store_id", "key")
 
 
 SNAPSHOT_SQL = f"""WITH {LOG_CTE} SELECT store_id, hex(key) AS key_hex, max(sequence) AS sequence FROM log
@@ -402,7 +412,7 @@ WHERE sequence <= %s GROUP BY store_id, key HAVING NOT arg_max(tombstone, sequen
 @query(SNAPSHOT_SQL % SNAPSHOT)
 def snapshot_scan(spark, sf_dir):
     """What a read as of a sequence sees."""
-    return shown(reads.snapshot(log_of(spark, sf_dir), SNAPSHOT), "store_id", "key", "sequence")
+    return shown(reads.snapshot(changes_of(spark, sf_dir), SNAPSHOT), "store_id", "key", "sequence")
 
 
 @query(f"""WITH {LOG_CTE}, s AS (SELECT DISTINCT store_id FROM log), v AS (
@@ -412,7 +422,7 @@ SELECT s.store_id, CASE WHEN v.dead = false THEN 'ok' ELSE 'not_found' END AS st
 FROM s LEFT JOIN v USING (store_id)""")
 def snapshot_get(spark, sf_dir):
     """A key as of a sequence."""
-    log = log_of(spark, sf_dir)
+    log = changes_of(spark, sf_dir)
     stores = log.select("store_id").distinct()
     found = reads.snapshot(log.where(F.col("key") == F.lit(SHARED_KEY)), SNAPSHOT).select("store_id", "value")
     return shown(stores.join(found, "store_id", "left").withColumn("status", reads.status()), "store_id", "status", "value")
@@ -423,7 +433,7 @@ SELECT store_id, hex(key) AS key_hex, max(sequence) AS sequence FROM log JOIN m
 WHERE sequence <= bound GROUP BY store_id, key HAVING NOT arg_max(tombstone, sequence)""")
 def stale_read(spark, sf_dir):
     """What a follower some sequences behind would serve."""
-    return shown(reads.stale_read(log_of(spark, sf_dir), LAG), "store_id", "key", "sequence")
+    return shown(reads.stale_read(changes_of(spark, sf_dir), LAG), "store_id", "key", "sequence")
 
 
 MERGE_SQL = f"""WITH {RUNS_CTE} SELECT store_id, hex(key) AS key_hex, max(sequence) AS sequence,
@@ -434,19 +444,19 @@ MERGED = ("store_id", "key", "sequence", "tombstone", "value")
 @query(MERGE_SQL % ("", ""))
 def merge_runs(spark, sf_dir):
     """All runs as one merged iteration: the newest entry per key."""
-    return shown(compaction.compact(runs_of(spark, sf_dir), bottom=False), *MERGED)
+    return shown(compaction.compact(delivered_of(spark, sf_dir), bottom=False), *MERGED)
 
 
 @query(MERGE_SQL % ("WHERE level = 0", ""))
 def compact_partial(spark, sf_dir):
     """Level 0 merged; tombstones stay, as level 1 may hold older versions."""
-    return shown(compaction.compact(runs_of(spark, sf_dir).where("level = 0"), bottom=False), *MERGED)
+    return shown(compaction.compact(delivered_of(spark, sf_dir).where("level = 0"), bottom=False), *MERGED)
 
 
 @query(MERGE_SQL % ("", "HAVING NOT arg_max(tombstone, sequence)"))
 def compact_full(spark, sf_dir):
     """All runs merged down to the deepest level; tombstones go."""
-    return shown(compaction.compact(runs_of(spark, sf_dir), bottom=True), *MERGED)
+    return shown(compaction.compact(delivered_of(spark, sf_dir), bottom=True), *MERGED)
 
 
 @query(f"""WITH {RUNS_CTE}, d AS (SELECT DISTINCT store_id, key, sequence, tombstone FROM runs),
@@ -455,7 +465,7 @@ f AS (SELECT *, min(sequence) OVER (PARTITION BY store_id, key) AS first FROM k
 SELECT store_id, hex(key) AS key_hex, sequence, tombstone FROM f WHERE NOT tombstone OR sequence <> first""")
 def compact_with_snapshot(spark, sf_dir):
     """All runs merged with what a live snapshot still sees."""
-    kept = compaction.compact_with_snapshots(runs_of(spark, sf_dir), [SNAPSHOT], bottom=True)
+    kept = compaction.compact_with_snapshots(delivered_of(spark, sf_dir), [SNAPSHOT], bottom=True)
     return shown(kept, "store_id", "key", "sequence", "tombstone")
 
 
@@ -624,7 +634,7 @@ def zorder_scan(spark, sf_dir):
 @query()
 def shard_counts(spark, sf_dir):
     """Live keys by hash shard and by rendezvous node (no SQL: DuckDB has no xxhash64)."""
-    keys = reads.live(log_of(spark, sf_dir))
+    keys = reads.live(changes_of(spark, sf_dir))
     node = indexes.rendezvous(F.col("key"), ["n0", "n1", "n2", "n3"]).alias("node")
     return keys.groupBy(indexes.shard_of(F.col("key"), 16).alias("shard"), node).agg(F.count("*").alias("keys"))
 

@@ -132,7 +132,7 @@ class Engine:
         kept = compaction.compact_with_snapshots(entries, snapshots, bottom=True) if snapshots else compaction.compact(entries, bottom=True)
         folder = f"runs/{now['number'] + 1:010d}-{uuid.uuid4().hex}"
         rows = kept.select("store_id", "sequence", "key", "value", F.coalesce(kept["tombstone"], F.lit(False)).alias("tombstone"))
-        rows.repartitionByRange("key").sortWithinPartitions("key", F.col("sequence").desc()).write.parquet(f"{self.files.root}/{folder}")
+        rows.repartitionByRange("key", "sequence").sortWithinPartitions("key", F.col("sequence").desc()).write.parquet(f"{self.files.root}/{folder}")
         self._commit(now | {"log": [], "runs": [folder]})
 
     def vacuum(self) -> None:

@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystrata.functions.bounded import use_all_cores
 from keystrata.functions.codec import interleave
 
-#: Query vectors that a task multiplies at once.
-QUERY_BLOCK = 512
+#: Query vectors and rows that a task multiplies at once.
+QUERY_BLOCK, ROW_BLOCK = 512, 20_000
 
 
 def secondary_index(df: DataFrame, attribute: str, key: str) -> DataFrame:
-    """Attribute value to key, in attribute order within each file; rows without either are not indexed."""
-    return df.dropna(subset=[attribute, key]).select(attribute, key).repartitionByRange(attribute).sortWithinPartitions(attribute, key)
+    """Attribute value to key, in attribute order within each file; rows without either are not indexed.
+
+    Ranges are of both columns, so the keys of a frequent value go over several files.
+    """
+    return df.dropna(subset=[attribute, key]).select(attribute, key).repartitionByRange(attribute, key).sortWithinPartitions(attribute, key)
 
 
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -30,7 +34,7 @@ def nearest(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int, qu
 
     Queries are gathered to blocks of at most ``query_block``; each block meets each part of the rows in one matrix
     product, and only each part's best ``k`` go on, so what is shuffled grows with queries and parts, not pairs.
-    Rows without a vector are left out.  Columns: query, ``rank`` (from 1), neighbour, distance.
+    Rows without a vector are left out; all vectors have the same length.  Columns: query, ``rank`` (from 1), neighbour, distance.
     """
     rows = df.dropna(subset=[key, vector]).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
     asked = queries.dropna(subset=[key, vector]).select(F.col(key).alias("q"), F.col(vector).cast("array<double>").alias("qv"))
@@ -38,7 +42,7 @@ def nearest(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int, qu
     n_blocks = max(1, -(-total // query_block))
     part = F.pmod(F.xxhash64("q"), F.lit(n_blocks))
     blocks = asked.groupBy(part.alias("block")).agg(F.collect_list(F.struct("q", "qv")).alias("qs"))
-    parts = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROW_BLOCK))
     spread = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>")))
     blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
 
@@ -50,7 +54,7 @@ def nearest(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int, qu
             if not len(left) or not len(asked_ids):
                 continue
             ids = left["key"].to_numpy()
-            vectors = np.array(left["v"].to_pylist())
+            vectors = pc.list_flatten(left["v"]).to_numpy().reshape(len(left), -1)
             d = (asked_vectors**2).sum(1)[:, None] - 2 * asked_vectors @ vectors.T + (vectors**2).sum(1)[None, :]
             d[asked_ids[:, None] == ids[None, :]] = np.inf
             for i in range(len(asked_ids)):

@@ -152,10 +152,10 @@ def separate_values(entries: DataFrame, threshold: int) -> tuple[DataFrame, Data
 def flush(entries: DataFrame, path: str, *, compression: str = "zstd", bloom: bool = True) -> None:
     """Write runs as Parquet, ordered by key within each file, so that row-group statistics serve as block index.
 
-    With ``bloom`` each row group gets a filter on the key for point lookups.
+    Ranges go by sequence too, so the versions of a hot key are spread.  With ``bloom`` each row group gets a filter on the key for point lookups.
     """
     writer = (
-        entries.repartitionByRange("store_id", "key").sortWithinPartitions("store_id", "key", F.col("sequence").desc())
+        entries.repartitionByRange("store_id", "key", "sequence").sortWithinPartitions("store_id", "key", F.col("sequence").desc())
         .write.mode("errorifexists").option("compression", compression)
     )
     if bloom:

@@ -119,7 +119,7 @@ def build_index(docs: DataFrame, terms: dict[str, int], anchor_terms: set[int],
     return docs.mapInArrow(index, f"id {id_type}, terms array<int>, positions array<int>, rare array<int>")
 
 
-def longest_runs(index: DataFrame, lists: dict[int, list[tuple[int, int]]], passages: dict[int, list[str]], terms: dict[str, int], id_type: str) -> DataFrame:
+def longest_runs(index: DataFrame, lists: dict[int, list[tuple[int, int]]], passages: dict[int, list[str]], items_of: list[int], terms: dict[str, int], id_type: str) -> DataFrame:
     """Intersect the postings: (id, item_id, words, shared) with the longest unbroken stretch and all shared words.
 
     Lists are intersected from the rarest terms: the postings of anchors, moved back by their offset in a passage,
@@ -152,7 +152,7 @@ def longest_runs(index: DataFrame, lists: dict[int, list[tuple[int, int]]], pass
                     run = int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
                     best[item] = max(best.get(item, (0, 0)), (run, int(same.sum())))
                 for item, (run, shared) in best.items():
-                    for column, x in zip(out, (key.as_py(), item, run, shared)):
+                    for column, x in zip(out, (key.as_py(), items_of[item], run, shared)):
                         column.append(x)
             if out[0]:
                 types = [batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int32()]
@@ -178,8 +178,8 @@ def find_leaks(
     ``words`` is the longest stretch of the passage's successive words that stands unbroken in the document's
     spoken text; at least ``min_words`` is an exact match, fewer a match by proximity.  Letter case, punctuation
     and damaged characters make no difference (see ``skeleton``).  Null texts and passages match nothing;
-    passages shorter than ``min_words`` have only matches by proximity.  A key that occurs in several rows is
-    answered for each row.
+    passages shorter than ``min_words`` have only matches by proximity.  A key or an item that occurs in several
+    rows is answered for each row.
 
     Items are the stated query set.  They are taken in blocks of ``block_items``; each block goes once over all
     documents to count its terms and once to index them, and the index is written to the shared folder.
@@ -192,12 +192,14 @@ def find_leaks(
     for block in range(max(1, -(-total // block_items))):
         blocks = max(1, -(-total // block_items))
         part = asked.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
-        passages = {r["item"]: words(r["passage"]) for r in part.collect()}
+        asked_rows = part.collect()
+        passages = {n: words(r["passage"]) for n, r in enumerate(asked_rows)}
+        items_of = [r["item"] for r in asked_rows]
         terms = {w: n for n, w in enumerate(sorted({w for p in passages.values() for w in p if w}))}
         frequency = document_frequencies(rows, terms)
         lists = {t: sorted(x) for t, x in anchors(passages, terms, frequency, min_words).items()}
         path = shared_dir(spark, "postings")
         build_index(rows, terms, set(lists), id_type).write.parquet(path)
-        matched = longest_runs(spark.read.parquet(path), lists, passages, terms, id_type)
+        matched = longest_runs(spark.read.parquet(path), lists, passages, items_of, terms, id_type)
         found = matched if found is None else found.unionByName(matched)
     return found.select(F.col("id").alias(key), "item_id", "words", "shared")

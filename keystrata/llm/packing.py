@@ -35,7 +35,7 @@ def pack(sizes: DataFrame, key: str, size: str, capacities: dict[int, int], *, w
     What an item of more than half leaves free takes one item of the class whose largest size fits there: the i-th
     such item of a worker takes the i-th item of that class, and the rest of the class goes to containers of its own.
 
-    Items of size 0 are of the last class.  Negative and null sizes and null keys are none and are left out.
+    A key in several rows is an item for each.  Items of size 0 are of the last class.  Negative and null sizes and null keys are none and are left out.
     """
     capacity = F.col("capacity")
     classes = F.least(F.lit(CLASSES), capacity)

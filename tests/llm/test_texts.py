@@ -114,7 +114,7 @@ def test_leaks_against_brute_force(spark):
         docs.append((d, srt(lines)))
     docs += [(200, ""), (201, None), (None, "x"), (202, srt([PASSAGES[1]] * 3000)), (203, "no cues"), (204, PASSAGES[1])]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("terms", F.lit(1)).withColumn("id", F.lit("x"))
-    items = spark.createDataFrame([*PASSAGES.items(), (None, "a b")], "item_id bigint, passage string").withColumn("id", F.lit(0))
+    items = spark.createDataFrame([*PASSAGES.items(), (None, "a b"), (2, "another text of item two")], "item_id bigint, passage string").withColumn("id", F.lit(0))
     for how in ({}, {"block_items": 2}):
         found = leak.find_leaks(spark, df, "doc_id", "text", items, "item_id", "passage", **how)
         got = {(r.doc_id, r.item_id) for r in found.collect() if r.words >= 12}

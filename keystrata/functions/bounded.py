@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a side of a join is sent to all tasks.
-BROADCAST_ROWS = 100_000
+#: Bytes up to which a side of a join is sent to all tasks.
+BROADCAST_BYTES = 32 << 20
+#: Bytes that a row takes in memory besides its values.
+ROW_OVERHEAD = 32
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if it has at most ``rows`` rows, which is counted; else leave the join to the planner."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes in memory; the length of strings and binaries counts as it is."""
+    size = F.lit(ROW_OVERHEAD)
+    for f in df.schema:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary", "varchar", "char"):
+            size = size + 8 + F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0))
+        elif kind in ("array", "map", "struct"):
+            size = size + 8 + F.coalesce(F.octet_length(F.to_json(F.struct(f"`{f.name}`"))), F.lit(0))
+        else:
+            size = size + 8
+    return size
+
+
+def broadcast_if_small(df: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast if its rows take at most ``limit_bytes``, which is measured; else leave the join to the planner.
+
+    Measuring runs the plan once more, so ``df`` should be a written table or a small aggregation.
+    """
+    taken = df.agg(F.sum(row_bytes(df).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if taken <= limit_bytes else df
 
 
 def use_all_cores(df: DataFrame) -> DataFrame:

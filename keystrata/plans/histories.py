@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.operators.history import version_history
-from keystrata.operators.incremental import latest_runs, pending_records
+from keystrata.operators.incremental import IncrementalLoad, carried_by, latest_runs
+from keystrata.sources.shared import shared_dir
 from keystrata.sources.tables import table
 from keystrata.streaming.cdc import rebuild_from_files
 
@@ -40,14 +41,23 @@ FROM p WHERE NOT dead
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The records that the next run of each store and source has to carry onward."""
+    """The records that the next run of each store and source has to carry onward, as that run carries them.
+
+    The load begins from what the log of runs says to be carried; then one run is made, and its committed output is
+    the answer.
+    """
+    keys = ["source_name", "store_id"]
     records = None
     for name in ("wal_entry", "internal_key"):
         part = table(spark, sf_dir, name).select(F.lit(name).alias("source_name"), "store_id", "sequence", "arrived_at")
         records = part if records is None else records.unionByName(part)
-    keys = ["source_name", "store_id"]
     runs = latest_runs(table(spark, sf_dir, "sync_run"), keys, "started_at", "status", "committed_sequence")
-    return pending_records(records, runs, keys, "sequence", "arrived_at")
+    load = IncrementalLoad(spark, shared_dir(spark, "load"), keys, "sequence")
+    load.adopt(carried_by(records, runs, keys, "arrived_at"))
+    named = records.select(*keys, "sequence")
+    load.run(named)
+    carried = load.output()
+    return spark.createDataFrame([], named.schema) if carried is None else carried
 
 
 P4_SQL = """

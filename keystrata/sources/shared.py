@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -85,5 +86,14 @@ class SharedFiles:
             raise
         return True
 
+    def age(self, name: str) -> float:
+        """Seconds since something directly in a folder, or the file itself, was last changed."""
+        path = self._path(name)
+        status = self._fs.getFileStatus(path)
+        times = [status.getModificationTime()]
+        if status.isDirectory():
+            times += [s.getModificationTime() for s in self._fs.listStatus(path)]
+        return time.time() - max(times) / 1000
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)

@@ -29,8 +29,8 @@ def test_broadcast_only_what_was_counted(spark):
     small, large = spark.range(10), spark.range(1000)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert "BroadcastHashJoin" in plan(large.join(broadcast_if_small(small, 10), "id"))
-        assert "BroadcastHashJoin" not in plan(large.join(broadcast_if_small(small, 9), "id"))
+        assert "BroadcastHashJoin" in plan(large.join(broadcast_if_small(small, 10 * 40), "id"))
+        assert "BroadcastHashJoin" not in plan(large.join(broadcast_if_small(small, 10 * 40 - 1), "id"))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 

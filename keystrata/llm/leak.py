@@ -1,164 +1,596 @@
-"""Evaluation texts leaking into training text: a distributed positional index of the test terms."""
+"""Evaluation texts leaking into training text: a distributed positional inverted index and phrase search in it."""
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.functions.bounded import use_all_cores
-from keystrata.llm.subtitles import is_word, skeleton, spoken
-from keystrata.sources.shared import shared_dir
+from keystrata.functions.bounded import broadcast_if_small, use_all_cores
+from keystrata.llm.subtitles import CUE_MARK, UNKNOWN, is_word, spoken, tokens, word_key
+from keystrata.sources.shared import SharedFiles, shared_dir
 
-#: Successive words of a passage that make a leak.
-MIN_WORDS = 12
-#: Rarest terms of each window of that many words through which texts are searched, and how many must be there.
+#: Successive words of a passage that make a leak, and how many of so many, in order, make a near match.
+MIN_WORDS, NEAR_WORDS = 12, 9
+#: Rarest terms of each window of ``MIN_WORDS`` words from which lists are intersected, and how many must meet.
 ANCHORS, MIN_HITS = 4, 2
-#: Items searched for in one pass; a pass's passages are what is sent to all tasks.
-BLOCK_ITEMS = 20_000
-#: Distinct tokens whose terms a task remembers at once.
-MEMORY = 1 << 18
-
-
-class _Terms(dict):
-    """Token to term number: -1 for a word that is no test term, -2 for one without a skeleton, -3 for no word."""
-
-    def __init__(self, terms: dict[str, int]):
+#: Words by which the places of two terms may differ in a near match, and words that an advert may have.
+SLACK, ADVERT_WORDS = 4, 40
+#: Letters from which a word may have a damaged one, and from which it may if its neighbours are whole.
+DAMAGED_LETTERS, FLANKED_LETTERS = 5, 3
+#: A word is read as damage of another if it is in at most this share of the other's documents, or in so few.
+DAMAGE_SHARE, DAMAGE_DOCUMENTS = 0.05, 2
+#: Words of documents whose postings a task puts together to one row per term.
+FLUSH_WORDS = 400_000
+#: Bytes of passages searched for at once; what is sent to all tasks grows with this only.
+BLOCK_BYTES = 16 << 20
+#: Pairs of posting and anchor that a task looks at at once.
+PAIRS = 4_000_000
+#: The term under which the beginnings of cues are posted.
+CUES = ""
+#: A term's rows of one task are spread over one more partition for each such share of the task's words.
+SALTS = 1024
+
+#: Words of adverts and credits.  They count only for a cue that stands between two halves of a passage.
+ADVERT_SIGNS = (
+    "ad ads advert advertise advertisement app available bet bonus buy casino corrected corrections credits deal discount "
+    "download encoded exclusive follow free http https join member membership offer online order presented promo provided rate "
+    "released ripped shop site sponsor sponsored sponsors store stream subscribe subs subtitle subtitles support sync synced "
+    "timing transcript transcribed translated translation vip visit watch web website www "
+    "untertitel werbung anzeige übersetzung besuchen kaufen kostenlos abonnieren angebot "
+    "sous-titres traduction traduit publicité visitez achetez gratuit abonnez offre "
+    "subtítulos traducción traducido publicidad visita compra gratis suscríbete oferta"
+).split()
+
+
+class _Codes(dict):
+    """Token to the number of its term in this task; -1 for what is no word, -2 between cues."""
+
+    limit = 1 << 18
+
+    def __init__(self):
         super().__init__()
-        self._terms = terms
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.terms: list[str] = []
+        self._numbers: dict[str, int] = {}
+        self[CUE_MARK] = -2
 
     def __missing__(self, token: str) -> int:
-        if len(self) >= MEMORY:
-            self.clear()
-        folded = skeleton(token)
-        number = self._terms.get(folded, -1) if folded else -2 if is_word(token) else -3
+        key = word_key(token)
+        number = -1
+        if key is not None:
+            number = self._numbers.get(key)
+            if number is None:
+                number = self._numbers[key] = len(self.terms)
+                self.terms.append(key)
         self[token] = number
         return number
 
 
 def words(text: str | None) -> list[str]:
-    """The skeletons of a passage's words; an empty one stands for any word without a skeleton."""
-    return [skeleton(t) for t in (text or "").split() if is_word(t)]
-
-
-def _positions(text: str, terms: _Terms) -> np.ndarray:
-    """Per spoken word its term number."""
-    tokens = spoken(text).split()
-    found = np.fromiter(map(terms.__getitem__, tokens), np.int32, len(tokens))
-    return found[found != -3]
-
-
-def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> np.ndarray:
-    """In how many documents each test term occurs, over all documents; counted within tasks, added up by Spark.
-
-    ``docs``: id, text.  There are as many counts as test terms, however many documents.
+    """The keys of a passage's words."""
+    return [k for k in map(word_key, tokens(text or "")) if k is not None]
+
+
+def _lists(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+
+
+def _edges(starts: np.ndarray, end: int) -> np.ndarray:
+    return np.append(starts, end)
+
+
+def _postings(ids: pa.Array, coded: list[np.ndarray], terms: list[str], batch: int) -> Iterator[pa.RecordBatch]:
+    """The rows of some documents: one per term, with documents, counts and positions as arrays."""
+    names = ["term", "batch", "documents", "salts", "ids", "counts", "positions", "marks"]
+    lengths = np.array([(c >= 0).sum() for c in coded], np.int64)
+    code = np.concatenate([c[c >= 0] for c in coded])
+    doc = np.repeat(np.arange(len(coded), dtype=np.int32), lengths)
+    first = np.cumsum(lengths) - lengths
+    at = (np.arange(len(code)) - np.repeat(first, lengths)).astype(np.int32)
+    if len(code):
+        order = np.argsort(code, kind="stable")
+        code_s, doc_s, at_s = code[order], doc[order], at[order]
+        new_term = np.flatnonzero(np.concatenate(([True], code_s[1:] != code_s[:-1])))
+        new_doc = np.flatnonzero(np.concatenate(([True], (code_s[1:] != code_s[:-1]) | (doc_s[1:] != doc_s[:-1]))))
+        term_docs = np.searchsorted(new_doc, new_term)
+        counts = np.diff(_edges(new_doc, len(code_s))).astype(np.int32)
+        sizes = np.diff(_edges(new_term, len(code_s)))
+        per_term = np.diff(_edges(term_docs, len(new_doc))).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(terms, pa.string()).take(pa.array(code_s[new_term])),
+                pa.array(np.full(len(new_term), batch, np.int64)),
+                pa.array(per_term),
+                pa.array((1 + sizes * SALTS // len(code_s)).astype(np.int32)),
+                _lists(_edges(term_docs, len(new_doc)), ids.take(pa.array(doc_s[new_doc]))),
+                _lists(_edges(term_docs, len(new_doc)), pa.array(counts)),
+                _lists(_edges(new_term, len(at_s)), pa.array(at_s)),
+                pa.nulls(len(new_term), pa.list_(pa.int32())),
+            ],
+            names=names,
+        )
+    # cues: where each begins, and a hash of its words
+    starts, owners = [], []
+    for d, c in enumerate(coded):
+        begins = np.cumsum(c >= 0)[c == -2]
+        begins = np.unique(np.concatenate(([0], begins)))
+        begins = begins[begins < lengths[d]]
+        starts.append(begins + first[d])
+        owners.append(len(begins))
+    begin = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+    if not len(begin):
+        return
+    size = np.diff(_edges(begin, len(code)))
+    weight = np.cumprod(np.full(int(size.max()), 31, np.uint32), dtype=np.uint32)
+    known = np.array([zlib.crc32(t.encode()) for t in terms], np.uint32)
+    weighted = known[code] * weight[np.arange(len(code)) - np.repeat(begin, size)]
+    mark = np.add.reduceat(weighted, begin, dtype=np.uint32).view(np.int32)
+    owners = np.array(owners, np.int32)
+    kept = np.flatnonzero(owners)
+    relative = (begin - np.repeat(first, owners)).astype(np.int32)
+    one = np.array([0, len(kept)])
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array([CUES]), pa.array([batch], pa.int64()), pa.array([len(kept)], pa.int32()), pa.array([SALTS], pa.int32()),
+            _lists(one, ids.take(pa.array(kept))), _lists(one, pa.array(owners[kept])),
+            _lists(np.array([0, len(relative)]), pa.array(relative)), _lists(np.array([0, len(mark)]), pa.array(mark)),
+        ],
+        names=names,
+    )
+
+
+@dataclass
+class Index:
+    """A stored index: ``postings`` (term, batch, documents, ids, counts, positions, marks) and ``vocabulary`` (term, documents)."""
+
+    postings: DataFrame
+    vocabulary: DataFrame
+
+
+def build_index(spark: SparkSession, docs: DataFrame, key: str, text: str, path: str, *, flush_words: int = FLUSH_WORDS) -> Index:
+    """Write the positional inverted index of all terms of all documents below ``path``, once for any number of searches.
+
+    Texts are gone over once.  Each task puts the postings of some documents (``batch``) together to one row per
+    term: the documents that have it, how often, and at which places of their spoken text, so what is shuffled is
+    numbers.  Rows are clustered and sorted by term; a term that many words are is spread over several partitions,
+    by a share that its task has counted.  Under ``CUES`` the beginnings of cues are posted, with hashes of their
+    words.  Rows with a null key or text are not indexed; a key in several rows is indexed for each.
     """
+    rows = use_all_cores(docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).dropna())
+    id_type = rows.schema["id"].dataType.simpleString()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = _Terms(terms), np.zeros(len(terms), np.int64)
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Codes()
+        ids, coded, held, number = [], [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
-            for text in batch.column(1):
-                present = np.unique(_positions(text.as_py(), known))
-                total[present[present >= 0]] += 1
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], names=["term", "n"])
-
-    out = np.zeros(len(terms), np.int64)
-    for row in docs.mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        out[row["term"]] = row["n"]
-    return out
-
-
-def anchors(passages: dict[int, list[str]], terms: dict[str, int], frequency: np.ndarray, min_words: int) -> dict[int, set[tuple[int, int]]]:
-    """Per term the (item, offset) at which it is one of the rarest of a window of ``min_words`` words.
-
-    A stretch of that many words has a whole window, so it has all anchors of one.
+            id_column = batch.column(0)
+            for i, text in enumerate(batch.column(1)):
+                found = tokens(spoken(text.as_py(), f"\n{CUE_MARK}\n"))
+                codes = np.fromiter(map(known.__getitem__, found), np.int32, len(found))
+                ids.append(id_column.slice(i, 1))
+                coded.append(codes[codes != -1])
+                held += len(codes)
+                if held >= flush_words:
+                    yield from _postings(pa.concat_arrays(ids), coded, known.terms, number)
+                    ids, coded, held, number = [], [], 0, number + 1
+                    if len(known) > known.limit:
+                        known.clear()
+        if ids:
+            yield from _postings(pa.concat_arrays(ids), coded, known.terms, number)
+
+    schema = f"term string, batch bigint, documents int, salts int, ids array<{id_type}>, counts array<int>, positions array<int>, marks array<int>"
+    posted = rows.mapInArrow(post, schema)
+    spread = posted.repartition("term", F.pmod("batch", "salts")).drop("salts").sortWithinPartitions("term", "batch")
+    spread.write.parquet(f"{path}/postings")
+    stored = spark.read.parquet(f"{path}/postings")
+    frequencies = stored.where(F.col("term") != CUES).groupBy("term").agg(F.sum("documents").alias("documents"))
+    frequencies.write.parquet(f"{path}/vocabulary")
+    return Index(stored, spark.read.parquet(f"{path}/vocabulary"))
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/vocabulary"))
+
+
+def _letters_only(term: str = "term"):
+    return ~F.col(term).rlike(r"[0-9~]")
+
+
+def _shortened(term: str = "term"):
+    """The term and each that it is without one of its letters."""
+    n = F.length(term)
+    places = F.sequence(F.lit(1), n)
+    return F.array_append(
+        F.transform(places, lambda i: F.concat(F.substring(F.col(term), F.lit(1), i - 1), F.substring(F.col(term), i + 1, n))), F.col(term)
+    )
+
+
+def damaged_forms(vocabulary: DataFrame, asked: DataFrame) -> DataFrame:
+    """(form, term, documents): words of the vocabulary that are an asked word with one damaged letter.
+
+    Two words within one edit share a form without one letter, so they are found by an equal join.  A word is taken
+    for damage only if it is rare beside the one it resembles, else it is another word.  Digits are not judged so.
+    ``asked``: term, and documents, how many have it.
     """
-    out: dict[int, set[tuple[int, int]]] = defaultdict(set)
-    for item, folded in passages.items():
-        places = [(int(frequency[terms[w]]), o) for o, w in enumerate(folded) if w]
-        for start in range(max(1, len(folded) - min_words + 1)):
-            window = sorted(p for p in places if start <= p[1] < start + min_words)[:ANCHORS]
-            for _, o in window:
-                out[terms[folded[o]]].add((item, o))
-    return out
-
-
-def build_index(docs: DataFrame, terms: dict[str, int], anchor_terms: set[int], id_type: str) -> DataFrame:
-    """The positional index: per document its postings of test terms, as parallel arrays (``terms``, ``positions``).
+    left = asked.where(_letters_only() & (F.length("term") >= FLANKED_LETTERS)).select(
+        F.col("term").alias("asked_term"), F.col("documents").alias("asked_documents"), F.explode(F.array_distinct(_shortened())).alias("part")
+    )
+    right = vocabulary.where(_letters_only() & (F.length("term") >= FLANKED_LETTERS - 1)).select(
+        F.col("term").alias("form"), "documents", F.explode(F.array_distinct(_shortened())).alias("part")
+    )
+    near = right.join(broadcast_if_small(left), "part").where(
+        (F.col("form") != F.col("asked_term"))
+        & (F.col("documents") <= F.greatest(F.lit(DAMAGE_DOCUMENTS), F.col("asked_documents") * DAMAGE_SHARE))
+        & (F.levenshtein("form", "asked_term", 1) >= 0)
+    )
+    return near.select("form", F.col("asked_term").alias("term"), "documents").distinct()
+
+
+def anchors(passages: list[np.ndarray], frequency: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(term, item, offset) of the rarest terms of each window of ``min_words`` words of each passage.
 
-    Words are counted over the spoken text; a word without a skeleton is posted as term -2.  Documents without
-    ``MIN_HITS`` anchors hold no stretch and are not stored.
+    A stretch of that many words has a whole window, so it has all anchors of one.
     """
-    wanted = np.zeros(len(terms), bool)
-    wanted[list(anchor_terms)] = True
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Terms(terms)
-        for batch in batches:
-            ids, all_terms, all_positions, rare = [], [], [], []
-            for key, text in zip(batch.column(0), batch.column(1)):
-                found = _positions(text.as_py(), known)
-                at = np.flatnonzero(found != -1).astype(np.int32)
-                posted = found[at]
-                rare_at = at[(posted >= 0) & wanted[np.maximum(posted, 0)]]
-                if len(rare_at) < MIN_HITS:
+    out: list[tuple[np.ndarray, int]] = []
+    for item, passage in enumerate(passages):
+        if not len(passage):
+            continue
+        rank = frequency[passage].astype(np.float64) + np.arange(len(passage)) / (len(passage) + 1)
+        width = min(min_words, len(passage))
+        windows = np.lib.stride_tricks.sliding_window_view(rank, width)
+        chosen = np.argpartition(windows, min(ANCHORS, width) - 1, axis=1)[:, :ANCHORS] + np.arange(len(windows))[:, None]
+        chosen = np.unique(chosen)
+        out.append((chosen[np.isfinite(rank[chosen])], item))
+    if not out:
+        return (np.zeros(0, np.int64),) * 3
+    offsets = np.concatenate([o for o, _ in out])
+    items = np.concatenate([np.full(len(o), i) for o, i in out])
+    return np.concatenate([passages[i][o] for o, i in out]).astype(np.int64), items.astype(np.int64), offsets.astype(np.int64)
+
+
+class _Searched:
+    """One block of passages and what tasks need to search for them."""
+
+    def __init__(self, passages, forms, n_codes, frequency, signs, min_words, near_words):
+        self.passages, self.n_codes, self.signs = passages, n_codes, signs
+        self.min_words, self.near_words = min_words, near_words
+        self.longest = max((len(p) for p in passages), default=0)
+        # pairs (form, term) that count as equal: anywhere, or only between whole neighbours
+        self.anywhere = np.array(sorted(f * n_codes + t for f, t, n in forms if n >= DAMAGED_LETTERS), np.int64)
+        self.flanked = np.array(sorted(f * n_codes + t for f, t, n in forms if n < DAMAGED_LETTERS), np.int64)
+        self.is_form = np.zeros(n_codes + 1, bool)  # the last is for -1, which is no term
+        self.is_form[[f for f, _, _ in forms]] = True
+        term, item, offset = anchors(passages, frequency, min_words)
+        order = np.lexsort((offset, item, term))
+        self.item, self.offset = item[order], offset[order]
+        self.first = np.searchsorted(term[order], np.arange(n_codes + 1))
+
+    def _in(self, pairs: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        if not len(pairs) or not len(keys):
+            return np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
+        return pairs[at] == keys
+
+    def equal(self, passage: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Which words are the same, one of them perhaps damaged; ``text`` may be several rows."""
+        same = passage == text
+        open_ = np.nonzero(self.is_form[text] & ~same)
+        if len(open_[0]):
+            keys = text[open_].astype(np.int64) * self.n_codes + passage[open_[-1]]
+            # both are found by the state before, so that a damaged word is never another one's whole neighbour
+            flanked = np.flatnonzero(self._in(self.flanked, keys))
+            anywhere = self._in(self.anywhere, keys)
+            for k in flanked:
+                place = tuple(x[k] for x in open_)
+                i = place[-1]
+                if 0 < i < len(passage) - 1 and same[(*place[:-1], i - 1)] and same[(*place[:-1], i + 1)]:
+                    anywhere[k] = True
+            same[tuple(x[anywhere] for x in open_)] = True
+        return same
+
+    def hits(self, doc: np.ndarray, at: np.ndarray, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Intersect the anchors' lists: (document, item, start) of places where enough of an item's anchors meet.
+
+        Each posting of an anchor, moved back by its offset, names the place where the passage would begin.
+        Postings come by document; they are taken in pieces of at most ``PAIRS`` pairs, and one document with more
+        in pieces of items.
+        """
+        n = self.first[code + 1] - self.first[code]
+        some = n > 0
+        doc, at, code, n = doc[some], at[some], code[some], n[some]
+        if not len(doc):
+            return
+        total = np.cumsum(n)
+        new = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+        ends = np.append(new[1:], len(doc))
+        low = 0
+        while low < len(new):
+            base = total[new[low]] - n[new[low]]
+            high = max(low + 1, int(np.searchsorted(total[ends - 1], base + PAIRS, side="right")))
+            part = slice(new[low], ends[high - 1])
+            pairs = int(n[part].sum())
+            pieces = -(-pairs // PAIRS) if high == low + 1 else 1
+            bounds = np.linspace(0, len(self.passages), min(pieces, max(1, len(self.passages))) + 1).astype(np.int64)
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                yield from self._met(doc[part], at[part], code[part], int(a), int(b))
+            low = high
+
+    def _met(self, doc, at, code, item_low, item_high):
+        first, last = self.first[code], self.first[code + 1]
+        if item_low > 0 or item_high < len(self.passages):
+            # anchors of a term are sorted by item
+            key = self.item + np.repeat(np.arange(self.n_codes), np.diff(self.first)) * len(self.passages)
+            first = np.searchsorted(key, code * len(self.passages) + item_low)
+            last = np.searchsorted(key, code * len(self.passages) + item_high)
+        n = last - first
+        which = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        d, start = np.repeat(doc, n), np.repeat(at, n) - self.offset[which]
+        item = self.item[which]
+        order = np.lexsort((start, item, d))
+        d, item, start = d[order], item[order], start[order]
+        if not len(d):
+            return
+        new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (item[1:] != item[:-1]))))
+        near = (start[1:] - start[:-1] <= SLACK) & (d[1:] == d[:-1]) & (item[1:] == item[:-1])
+        met = np.zeros(len(d), bool)
+        met[1:] |= near
+        met[:-1] |= near
+        for a, b in zip(new, np.append(new[1:], len(d))):
+            if met[a:b].any():
+                yield int(d[a]), int(item[a]), np.unique(start[a:b][met[a:b]]), np.unique(start[a:b])
+
+    def runs(self, passage: np.ndarray, full: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
+        """(first offset, end offset, start) of the unbroken stretches of a passage laid over a text at the starts."""
+        out = []
+        for start in starts.tolist():
+            low, high = max(0, -start), min(len(passage), len(full) - start)
+            if high <= low:
+                continue
+            same = self.equal(passage[low:high], full[start + low : start + high])
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0])))) + low
+            out += zip(edges[::2].tolist(), edges[1::2].tolist(), [start] * (len(edges) // 2))
+        return out
+
+    def joined(self, runs, cues: np.ndarray, marks: np.ndarray, full: np.ndarray) -> tuple[int, int, list[int]]:
+        """The longest stretch with single cues in between that may be adverts: words, words without, cues to be judged."""
+        runs = sorted(runs, key=lambda r: (r[2] + r[0], r[0]))
+        best: list[tuple[int, list[int]]] = []
+        for i, (low, high, start) in enumerate(runs):
+            mine = (high - low, [])
+            for j in range(i):
+                a_low, a_high, a_start = runs[j]
+                gap = start - a_start
+                if not 0 < gap <= ADVERT_WORDS or a_high < low or a_low >= low and a_low > 0 and a_low >= high:
                     continue
-                ids.append(key.as_py())
-                all_terms.append(posted)
-                all_positions.append(at)
-                rare.append(rare_at)
-            if ids:
-                arrays = [pa.array(x, pa.list_(pa.int32())) for x in (all_terms, all_positions, rare)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), *arrays], names=["id", "terms", "positions", "rare"])
-
-    return docs.mapInArrow(index, f"id {id_type}, terms array<int>, positions array<int>, rare array<int>")
-
-
-def longest_runs(index: DataFrame, lists: dict[int, list[tuple[int, int]]], passages: dict[int, list[str]], items_of: list[int], terms: dict[str, int], id_type: str) -> DataFrame:
-    """Intersect the postings: (id, item_id, words, shared) with the longest unbroken stretch and all shared words.
-
-    Lists are intersected from the rarest terms: the postings of anchors, moved back by their offset in a passage,
-    name the places where that passage would begin.  Only at places with ``MIN_HITS`` anchors are the other lists
-    looked at, and the passage is laid over the document there.  All of a document's postings are in one row, so
-    this shuffles nothing.
+                for o in range(max(low, a_low + 1), min(a_high, high - 1) + 1):
+                    c = int(np.searchsorted(cues, a_start + o))
+                    if c + 1 >= len(cues) or cues[c] != a_start + o or cues[c + 1] != start + o:
+                        continue
+                    between = full[a_start + o : start + o]
+                    judged = [] if np.isin(between, self.signs).any() else [int(marks[c])]
+                    words = best[j][0] - (a_high - o) + (high - o)
+                    if words > mine[0]:
+                        mine = (words, best[j][1] + judged)
+            best.append(mine)
+        sure = max((b[0] for b in best if not b[1]), default=0)
+        most = max(best, key=lambda b: b[0], default=(0, []))
+        return most[0], sure, most[1] if most[0] > sure else []
+
+    def shared(self, passage: np.ndarray, full: np.ndarray, start: int) -> int:
+        """Of a window of a passage's successive words, the most that stand near ``start`` in the same order."""
+        length = len(passage)
+        shifts = np.arange(start - SLACK, start + SLACK + 1)
+        places = shifts[:, None] + np.arange(length)[None, :]
+        inside = (places >= 0) & (places < len(full))
+        same = self.equal(passage, np.where(inside, full[np.clip(places, 0, len(full) - 1)], -1))
+        any_ = np.concatenate(([0], np.cumsum(same.any(axis=0))))
+        width = min(self.min_words, length)
+        most = int((any_[width:] - any_[:-width]).max())
+        if most < self.near_words:
+            return most
+        tails: list[int] = []
+        offsets: list[int] = []
+        back: list[int] = []
+        nodes: list[tuple[int, int]] = []
+        tail_nodes: list[int] = []
+        row, o = np.nonzero(same)
+        pairs = np.stack([o, places[row, o]])
+        pairs = pairs[:, np.lexsort((-pairs[1], pairs[0]))]
+        # longest increasing chain: offsets up, places up
+        for o, p in zip(*pairs.tolist()):
+            k = bisect_left(tails, p)
+            nodes.append((o, p))
+            back.append(tail_nodes[k - 1] if k else -1)
+            if k == len(tails):
+                tails.append(p)
+                tail_nodes.append(len(nodes) - 1)
+            else:
+                tails[k], tail_nodes[k] = p, len(nodes) - 1
+        at = tail_nodes[-1] if tail_nodes else -1
+        while at >= 0:
+            offsets.append(nodes[at][0])
+            at = back[at]
+        offsets.reverse()
+        low = most = 0
+        for high, o in enumerate(offsets):
+            while offsets[low] <= o - self.min_words:
+                low += 1
+            most = max(most, high - low + 1)
+        return most
+
+    def search(self, table: pa.Table) -> list[list]:
+        """(id, item number, words, joined words, cues to be judged, shared) of one batch of documents."""
+        out: list[list] = [[], [], [], [], [], []]
+        cue_rows = [i for i, c in enumerate(table["code"].to_pylist()) if c < 0]
+        codes = table["code"].to_numpy()
+        ids = [x.values for x in table["ids"]]
+        lengths = [len(x) for x in ids]
+        every = pa.concat_arrays([x.cast(ids[0].type) for x in ids])
+        numbered = every.dictionary_encode()
+        number = numbered.indices.to_numpy()
+        counts = np.concatenate([np.asarray(x.values) for x in table["counts"]])
+        position = np.concatenate([np.asarray(x.values) for x in table["positions"]])
+        doc = np.repeat(number, counts)
+        code = np.repeat(np.repeat(codes, lengths), counts)
+        cue = code < 0
+        mark = np.zeros(len(doc), np.int64)
+        if cue_rows:
+            mark[cue] = np.concatenate([np.asarray(table["marks"][i].values) for i in cue_rows])
+        cue_doc, cue_at, cue_mark = doc[cue], position[cue], mark[cue]
+        order = np.lexsort((cue_at, cue_doc))
+        cue_doc, cue_at, cue_mark = cue_doc[order], cue_at[order], cue_mark[order]
+        doc, position, code = doc[~cue], position[~cue].astype(np.int64), code[~cue]
+        order = np.lexsort((position, doc))
+        doc, position, code = doc[order], position[order], code[order]
+        held, full, cues, marks = -1, None, None, None
+        for d, item, met, starts in self.hits(doc, position, code):
+            if d != held:
+                low, high = np.searchsorted(doc, [d, d + 1])
+                a, b = np.searchsorted(cue_doc, [d, d + 1])
+                full = np.full(int(position[high - 1]) + 1, -1, np.int32)
+                full[position[low:high]] = code[low:high]
+                cues, marks, held = cue_at[a:b], cue_mark[a:b], d
+            passage = self.passages[item]
+            laid = self.runs(passage, full, met)
+            words = max((r[1] - r[0] for r in laid), default=0)
+            joined, judged, shared = words, [], min(words, self.min_words)
+            if words < self.min_words:
+                if len(starts) > 1 and starts[-1] - starts[0] > 0:
+                    every_run = [r for r in self.runs(passage, full, starts) if r[1] - r[0] > 1]
+                    joined, words_sure, judged = self.joined(every_run, cues, marks, full)
+                    words = max(words, words_sure)
+                    joined = max(joined, words)
+                if joined < self.near_words:
+                    shared = max(self.shared(passage, full, s) for s in met.tolist())
+                else:
+                    shared = max(shared, min(joined, self.min_words))
+                if joined < self.min_words and shared < self.near_words:
+                    continue
+            for column, x in zip(out, (numbered.dictionary[d].as_py(), item, words, joined, judged, shared)):
+                column.append(x)
+        return out
+
+
+def _search_block(spark: SparkSession, index: Index, asked: DataFrame, id_type: str, min_words: int, near_words: int) -> DataFrame:
+    """(id, row, words, joined, judged, shared) for the passages of one block (row, words)."""
+    rows = asked.collect()
+    each = asked.select(F.explode("words").alias("term"))
+    signs = sorted({k for w in ADVERT_SIGNS for k in words(w)})
+    extra = spark.createDataFrame([(s,) for s in signs], "term string")
+    terms = each.unionByName(extra).distinct()
+    known = terms.join(index.vocabulary, "term", "left").select("term", F.coalesce("documents", F.lit(0)).alias("documents"))
+    known = [(r["term"], r["documents"]) for r in known.collect()]
+    asked_terms = spark.createDataFrame(known, "term string, documents bigint")
+    forms = [tuple(r) for r in damaged_forms(index.vocabulary, asked_terms).select("form", "term").collect()]
+    names = sorted({t for t, _ in known} | {f for f, _ in forms})
+    codes = {t: i for i, t in enumerate(names)}
+    frequency = np.zeros(max(1, len(names)))
+    for t, n in known:
+        frequency[codes[t]] = n
+    if UNKNOWN in codes:
+        frequency[codes[UNKNOWN]] = np.inf
+    passages = [np.array([codes[w] for w in r["words"]], np.int32) for r in rows]
+    numbers = [r["row"] for r in rows]
+    searched = _Searched(
+        passages, [(codes[f], codes[t], len(t)) for f, t in forms], len(names), frequency,
+        np.array([codes[s] for s in signs], np.int32), min_words, near_words,
+    )
+    # a block's terms are bounded by its bytes
+    wanted = spark.createDataFrame([*((t, c) for t, c in codes.items()), (CUES, -1)], "term string, code int")
+    lists = index.postings.join(broadcast_if_small(wanted), "term").select("batch", "code", "ids", "counts", "positions", "marks")
+
+    def match(table: pa.Table) -> pa.Table:
+        found = searched.search(table)
+        found[1] = [numbers[i] for i in found[1]]
+        types = [table.schema.field("ids").type.value_type, pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int32()]
+        return pa.table([pa.array(c, t) for c, t in zip(found, types)], names=["id", "row", "words", "joined", "judged", "shared"])
+
+    schema = f"id {id_type}, row bigint, words int, joined int, judged array<bigint>, shared int"
+    return lists.groupBy("batch").applyInArrow(match, schema)
+
+
+def _adverts(index: Index, marks: DataFrame) -> DataFrame:
+    """(mark): those of the given cues that stand in more than one document, as what is said once seldom does."""
+    pairs = F.explode(F.arrays_zip(F.transform("marks", lambda m: m.cast("long")).alias("mark"), _owners().alias("id")))
+    cues = index.postings.where(F.col("term") == CUES).select(pairs.alias("c")).select("c.mark", "c.id")
+    found = cues.join(broadcast_if_small(marks), "mark", "left_semi").distinct()
+    return found.groupBy("mark").count().where("count > 1").select("mark")
+
+
+def _owners():
+    """The document of each posting of a row, from its documents and counts."""
+    return F.flatten(F.transform(F.arrays_zip("ids", "counts"), lambda x: F.array_repeat(x["ids"], x["counts"])))
+
+
+def search(
+    spark: SparkSession,
+    index: Index,
+    items: DataFrame,
+    item: str,
+    passage: str,
+    *,
+    min_words: int = MIN_WORDS,
+    near_words: int = NEAR_WORDS,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """Search the index for passages: (id, item_id, words, shared); no text is gone over.
+
+    Passages are the stated query set and are taken in blocks of about ``block_bytes``.  A block reads the lists of
+    its own terms, of their damaged forms and of the beginnings of cues, and brings lists of the same documents
+    together.  There they are intersected from the rarest terms on: where enough anchors meet, moved by their
+    offsets, the passage is laid over the other lists.
+
+    Exact: ``words`` successive words, at least ``min_words``, stand unbroken.  One damaged letter makes no
+    difference (see ``damaged_forms`` and ``skeleton``), nor does a single cue in between that is an advert: it has
+    a word of ``ADVERT_SIGNS`` or the same cue stands in another document too.  Near: of ``min_words`` successive
+    words ``shared``, at least ``near_words``, stand in the same order, with up to ``SLACK`` words more or fewer in
+    between.
     """
-    laid = {i: np.array([terms[w] if w else -2 for w in folded], np.int32) for i, folded in passages.items()}
-    tables = {t: np.array(sorted(x), np.int64).reshape(-1, 2) for t, x in lists.items()}
+    id_type = index.postings.schema["ids"].dataType.elementType.simpleString()
+    asked = items.select(F.col(item).cast("long").alias("item"), F.col(passage).cast("string").alias("passage")).dropna()
 
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for key, ts, ps, rs in zip(*[batch.column(i) for i in range(4)]):
-                posted, at, rare = (np.asarray(x.values) for x in (ts, ps, rs))
-                full = np.full(int(at[-1]) + 1, -1, np.int32)
-                full[at] = posted
-                hits: Counter = Counter()
-                for p in rare:
-                    table = tables[int(full[p])]
-                    hits.update(zip(table[:, 0].tolist(), (int(p) - table[:, 1]).tolist()))
-                best: dict[int, tuple[int, int]] = {}
-                for (item, start), n in hits.items():
-                    if n < MIN_HITS:
-                        continue
-                    passage = laid[item]
-                    low, high = max(0, -start), min(len(passage), len(full) - start)
-                    same = passage[low:high] == full[start + low : start + high]
-                    edges = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
-                    run = int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
-                    best[item] = max(best.get(item, (0, 0)), (run, int(same.sum())))
-                for item, (run, shared) in best.items():
-                    for column, x in zip(out, (key.as_py(), items_of[item], run, shared)):
-                        column.append(x)
-            if out[0]:
-                types = [batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["id", "item_id", "words", "shared"])
-
-    return index.select("id", "terms", "positions", "rare").mapInArrow(match, f"id {id_type}, item_id bigint, words int, shared int")
+            found = [words(p.as_py()) for p in batch.column(1)]
+            rows = pa.array(np.arange(number, number + len(found)), pa.int64())
+            number += len(found)
+            yield pa.RecordBatch.from_arrays([rows, batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["row", "item", "words"])
+
+    path = shared_dir(spark, "search")
+    asked.mapInArrow(split, "row bigint, item bigint, words array<string>").write.parquet(f"{path}/passages")
+    passages = spark.read.parquet(f"{path}/passages")
+    size = passages.agg(F.sum(F.octet_length(F.array_join("words", " ")))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    for block in range(blocks):
+        part = passages.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == block).select("row", "words")
+        _search_block(spark, index, part, id_type, min_words, near_words).write.parquet(f"{path}/matches/block={block}")
+    matches = spark.read.parquet(*[f"{path}/matches/block={b}" for b in range(blocks)])
+    if matches.where(F.size("judged") > 0).limit(1).count():
+        marks = matches.select(F.explode("judged").alias("mark")).distinct()
+        adverts = _adverts(index, marks)
+        adverts.write.parquet(f"{path}/adverts")
+        adverts = spark.read.parquet(f"{path}/adverts").withColumn("advert", F.lit(True))
+        open_ = matches.where(F.size("judged") > 0).select("id", "row", "joined", F.explode("judged").alias("mark"))
+        settled = open_.join(broadcast_if_small(adverts), "mark", "left").groupBy("id", "row").agg(
+            F.min(F.coalesce("advert", F.lit(False))).alias("all_adverts")
+        )
+        matches = matches.join(settled, ["id", "row"], "left").withColumn(
+            "words", F.when(F.coalesce("all_adverts", F.lit(False)), F.col("joined")).otherwise(F.col("words"))
+        )
+    kept = matches.where((F.col("words") >= min_words) | (F.col("shared") >= near_words))
+    return kept.join(broadcast_if_small(passages.select("row", "item")), "row").select("id", F.col("item").alias("item_id"), "words", "shared")
 
 
 def find_leaks(
@@ -169,37 +601,17 @@ def find_leaks(
     items: DataFrame,
     item: str,
     passage: str,
-    *,
-    min_words: int = MIN_WORDS,
-    block_items: int = BLOCK_ITEMS,
+    **how,
 ) -> DataFrame:
-    """Documents and the items whose passage they share words with: (key, item_id, words, shared).
-
-    ``words`` is the longest stretch of the passage's successive words that stands unbroken in the document's
-    spoken text; at least ``min_words`` is an exact match, fewer a match by proximity.  Letter case, punctuation
-    and damaged characters make no difference (see ``skeleton``).  Null texts and passages match nothing;
-    passages shorter than ``min_words`` have only matches by proximity.  A key or an item that occurs in several
-    rows is answered for each row.
+    """Documents and the items whose passage they hold wholly or partly: (key, item_id, words, shared).
 
-    Items are the stated query set.  They are taken in blocks of ``block_items``; each block goes once over all
-    documents to count its terms and once to index them, and the index is written to the shared folder.
+    Builds the index of all documents (``build_index``), searches it (``search``, which says what a match is and
+    takes ``how``), and deletes it; to search for other items later, build and keep it.  Null texts and passages
+    match nothing; passages shorter than ``min_words`` have only near matches, if they have ``near_words`` words.  A
+    key or an item that occurs in several rows is answered for each row.
     """
-    rows = use_all_cores(docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).dropna())
-    id_type = rows.schema["id"].dataType.simpleString()
-    asked = items.select(F.col(item).cast("long").alias("item"), F.col(passage).alias("passage")).dropna()
-    total = asked.count()
-    found = None
-    for block in range(max(1, -(-total // block_items))):
-        blocks = max(1, -(-total // block_items))
-        part = asked.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
-        asked_rows = part.collect()
-        passages = {n: words(r["passage"]) for n, r in enumerate(asked_rows)}
-        items_of = [r["item"] for r in asked_rows]
-        terms = {w: n for n, w in enumerate(sorted({w for p in passages.values() for w in p if w}))}
-        frequency = document_frequencies(rows, terms)
-        lists = {t: sorted(x) for t, x in anchors(passages, terms, frequency, min_words).items()}
-        path = shared_dir(spark, "postings")
-        build_index(rows, terms, set(lists), id_type).write.parquet(path)
-        matched = longest_runs(spark.read.parquet(path), lists, passages, items_of, terms, id_type)
-        found = matched if found is None else found.unionByName(matched)
-    return found.select(F.col("id").alias(key), "item_id", "words", "shared")
+    path = shared_dir(spark, "leaks")
+    index = build_index(spark, docs, key, text, f"{path}/index")
+    search(spark, index, items, item, passage, **how).write.parquet(f"{path}/found")
+    SharedFiles(spark, path).delete("index")
+    return spark.read.parquet(f"{path}/found").select(F.col("id").alias(key), "item_id", "words", "shared")

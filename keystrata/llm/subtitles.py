@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 
 #: What single characters are mistaken for, both ways, when subtitles are read from pictures.
 #: Each is written as what both readings become: an h is read as li, so h becomes what li becomes.
@@ -65,6 +66,51 @@ def skeleton(word: str) -> str:
     return _ODD.sub("", word.lower().translate(_FOLD))
 
 
+#: What ``word_key`` gives for a word of which nothing certain is left, as of one accented letter alone.
+UNKNOWN = "~"
+#: Stands between cues in ``marked``; a private-use character, so no text has it as a word.
+CUE_MARK = "\ue000"
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff]")
+
+
+def repaired(word: str) -> str:
+    """The word with a wrong decoding (UTF-8 read as a one-byte code, once or twice) undone where that is possible."""
+    for _ in range(2):
+        for code in ("cp1252", "latin-1"):
+            try:
+                word = word.encode(code).decode("utf-8")
+                break
+            except UnicodeError:
+                continue
+        else:
+            break
+        if word.isascii():
+            break
+    return word
+
+
+def _other_script(c: str) -> bool:
+    return c.isalpha() and c > "\u036f" and "LATIN" not in unicodedata.name(c, "LATIN")
+
+
+def word_key(token: str) -> str | None:
+    """What a word is known by whatever happened to its characters; None for a token without letter or digit.
+
+    A word with an ASCII letter or digit is known by its skeleton, as its other letters may be damaged or wrongly
+    decoded.  A word without one is known by all its letters, case folded, after a wrong decoding is undone; if it is
+    one letter alone, of an alphabet with two cases, nothing certain is left of it.
+    """
+    if not is_word(token):
+        return None
+    if token.isascii():
+        return skeleton(token) or UNKNOWN
+    if not _ODD.sub("", token.lower()):
+        folded = "".join(c for c in unicodedata.normalize("NFKC", repaired(token)).casefold() if c.isalnum())
+        if any(_other_script(c) for c in folded) and (len(folded) > 1 or folded.upper() == folded):
+            return folded
+    return skeleton(token) or UNKNOWN
+
+
 # of each phrase the word that is looked for first
 _SIGNS = {skeleton(max(p.split(), key=len)) for p in ADVERTS if p != "s u b s b y"} | {"b"}
 
@@ -118,9 +164,16 @@ def cues(text: str) -> list[str]:
     return bodies
 
 
-def spoken(text: str) -> str:
+def tokens(text: str) -> list[str]:
+    """Words and what else stands between spaces; signs of scripts that write no spaces are one word each."""
+    if not text.isascii() and _UNSPACED.search(text):
+        text = _UNSPACED.sub(r" \g<0> ", text)
+    return text.split()
+
+
+def spoken(text: str, between: str = "\n\n") -> str:
     """The spoken text: cues without markup, sound descriptions and speakers' names, joined by blank lines."""
-    body = "\n\n".join(cues(text))
+    body = between.join(cues(text))
     if "<" in body or "{" in body:
         body = _TAG.sub("", body)
     body = _SOUND.sub(" ", body)

@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from keystrata.llm import leak, packing, reading, tokens
-from keystrata.llm.subtitles import cues, skeleton, spoken
+from keystrata.llm.subtitles import UNKNOWN, cues, skeleton, spoken, tokens as text_tokens, word_key
+from keystrata.sources.shared import shared_dir
 
 
 def srt(lines, start=1):
@@ -27,6 +29,14 @@ def test_skeleton_unites_what_is_confused():
     assert skeleton("Kazan") != skeleton("Vazan") and skeleton("à") == ""
 
 
+def test_word_keys_in_all_scripts():
+    russian = "Привет"
+    assert word_key(russian.upper()) == word_key(russian.encode().decode("latin-1")) == "привет" != word_key("Привёт")
+    assert word_key("für") == word_key("fьr") == word_key("fÃ¼r") == "tr"
+    assert word_key("à") == word_key("а") == word_key("Ã©") == UNKNOWN and word_key("…") is None and word_key("東") == "東"
+    assert text_tokens("東京 is 大") == ["東", "京", "is", "大"] and text_tokens("привет мир") == ["привет", "мир"]
+
+
 @pytest.fixture(scope="module")
 def encode():
     return tokens.encoding().encode_ordinary
@@ -115,12 +125,91 @@ def test_leaks_against_brute_force(spark):
     docs += [(200, ""), (201, None), (None, "x"), (202, srt([PASSAGES[1]] * 3000)), (203, "no cues"), (204, PASSAGES[1])]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("terms", F.lit(1)).withColumn("id", F.lit("x"))
     items = spark.createDataFrame([*PASSAGES.items(), (None, "a b"), (2, "another text of item two")], "item_id bigint, passage string").withColumn("id", F.lit(0))
-    for how in ({}, {"block_items": 2}):
+    for how in ({}, {"block_bytes": 60}):
         found = leak.find_leaks(spark, df, "doc_id", "text", items, "item_id", "passage", **how)
         got = {(r.doc_id, r.item_id) for r in found.collect() if r.words >= 12}
         assert got == brute_leaks(docs, PASSAGES, 12) and len(got) > 20
 
 
+LONG = "The tall keeper of Kerin counted seventeen grey geese before breakfast while thunder rolled over empty harbour walls tonight"
+RUSSIAN = "Старый хранитель маяка считал серых гусей до завтрака пока гром катился над пустыми стенами гавани и город спал"
+
+
+def leaks(spark, docs, items, **how):
+    df = spark.createDataFrame([*docs.items()], "doc_id bigint, text string")
+    asked = spark.createDataFrame([*items.items()], "item_id bigint, passage string")
+    found = leak.find_leaks(spark, df, "doc_id", "text", asked, "item_id", "passage", **how).collect()
+    return {(r.doc_id, r.item_id): (r.words, r.shared) for r in found}
+
+
+def halves(middle):
+    w = LONG.split()
+    return srt([" ".join(w[:5]), " ".join(w[5:9]), *middle, " ".join(w[9:14]), " ".join(w[14:])])
+
+
+def test_leaks_in_other_scripts_with_damage_and_with_adverts(spark):
+    w = RUSSIAN.split()
+    unlisted = "Zorblat makes your kitchen shine"
+    docs = {
+        1: srt([" ".join(w[:8]), " ".join(w[8:])]), 2: srt([RUSSIAN.encode().decode("latin-1").replace("\x85", "")]), 3: srt([" ".join(w[:11])]),
+        4: srt([LONG.replace("Kerin", "Xerin")]), 5: srt([LONG.replace("the", "tbe").replace("grey", "gray")]),
+        6: halves(["Visit our shop for the best kites"]), 7: halves([unlisted]), 8: srt(["hello there", unlisted]),
+        9: halves(["I never saw him again after that"]), 10: halves(["Buy kites", "Go home now"]),
+        11: srt([LONG.replace("Kerin", "Bobel")]), 12: srt([LONG.replace("seventeen", "eighteen")]),
+    }
+    docs |= {20 + i: srt(["old Bobel sold eighteen maps in Bobel"]) for i in range(5)}
+    got = leaks(spark, docs, {1: RUSSIAN, 2: LONG})
+    exact = {k for k, (n, _) in got.items() if n >= 12}
+    assert {(1, 1), (4, 2), (5, 2), (6, 2), (7, 2)} <= exact
+    assert not exact & {(3, 1), (9, 2), (8, 2)} and got[11, 2][0] == len(LONG.split()) - 5
+    assert got[4, 2][0] == len(LONG.split()) and got[6, 2][0] == got[7, 2][0] == len(LONG.split())
+    assert (12, 2) in exact  # twelve words follow the one that differs
+
+
+def test_near_matches_are_found(spark):
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(1500)]
+    items = {i: " ".join(rng.choice(vocabulary) for _ in range(30)) for i in range(40)}
+    docs, planted = {}, set()
+    for d in range(300):
+        words = [rng.choice(vocabulary) for _ in range(80)]
+        if d % 2 == 0:
+            item = rng.randrange(40)
+            at = rng.randint(0, 18)
+            part = items[item].split()[at : at + 12]
+            for _ in range(rng.randint(1, 2)):
+                k = rng.randint(2, 9)
+                how = rng.choice(["insert", "drop", "change"])
+                part[k : k + (how != "insert")] = [] if how == "drop" else [rng.choice(vocabulary)]
+            words[40:40] = part
+            planted.add((d, item))
+        docs[d] = srt([" ".join(words[i : i + 6]) for i in range(0, len(words), 6)])
+    got = set(leaks(spark, docs, items))
+    assert len(got & planted) >= 0.9 * len(planted)
+    assert len(got - planted) <= 0.02 * len(docs)
+
+
+def test_one_index_serves_several_searches(spark):
+    docs = spark.createDataFrame([("a", srt([LONG] * 40)), ("b", srt([PASSAGES[1]])), ("b", srt([PASSAGES[1]])), ("c", "")], "doc_id string, text string")
+    index = leak.build_index(spark, docs, "doc_id", "text", shared_dir(spark, "index"), flush_words=50)
+    assert {r.documents for r in index.vocabulary.where("term = 'rlngs'").collect()} <= {2}
+    for number, passage, docs_with in ((1, LONG, ["a"]), (2, PASSAGES[1], ["b", "b"])):
+        found = leak.search(spark, index, spark.createDataFrame([(number, passage)], "item_id bigint, passage string"), "item_id", "passage")
+        assert sorted(r.id for r in found.collect()) == docs_with
+
+
+def test_pieces_of_pairs_change_nothing(spark, monkeypatch):
+    docs = {d: srt([LONG, PASSAGES[1]] * (3 if d else 200)) for d in range(6)}
+    items = {1: LONG, 2: PASSAGES[1], 3: LONG + " " + PASSAGES[1]}
+    whole = leaks(spark, docs, items)
+    searched = leak._Searched([np.array([0, 1, 2]), np.array([1, 2, 0])], [], 3, np.array([3.0, 2.0, 1.0]), np.zeros(0, np.int32), 12, 9)
+    doc, at, code = np.repeat([0, 1, 2], 300), np.tile(np.arange(300), 3), np.tile([0, 1, 2], 300)
+    one = [(d, i, m.tolist()) for d, i, m, _ in searched.hits(doc, at, code)]
+    monkeypatch.setattr(leak, "PAIRS", 100)
+    assert sorted((d, i, m.tolist()) for d, i, m, _ in searched.hits(doc, at, code)) == sorted(one) and len(one) == 6
+    assert len(whole) == 18
+
+
 def test_leaks_empty(spark):
     docs, items = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, passage string")
     assert leak.find_leaks(spark, docs, "doc_id", "text", items, "item_id", "passage").count() == 0

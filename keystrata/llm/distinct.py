@@ -8,8 +8,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Standard error, relative to the count, for which bitmaps are sized.
-TARGET_ERROR = 0.01
+#: Standard error, relative to the count, for which bitmaps are sized, and the count up to which it is kept.  Both are
+#: parameters of the bitmaps and not of the day's data: partial results merge whenever they were made.
+TARGET_ERROR, CAPACITY = 0.01, 50_000_000
 WORD_BITS = 64
 
 
@@ -37,13 +38,16 @@ def bitmap_bits(most: int, target_error: float = TARGET_ERROR) -> int:
 
 
 def bitmap_words(df: DataFrame, cell: list[str], identifier: list[str], bits: int) -> DataFrame:
-    """Partial results: one row per cell and non-empty 64-bit word of its bitmap (``word_no``, ``word``).
+    """Partial results: one row per cell and non-empty 64-bit word of its bitmap (``bits``, ``word_no``, ``word``).
 
-    Each identifier sets the bit that its hash names.  A cell's bitmap is ``bits`` long; words without a set bit
-    are not stored, so a small cell costs as little as its identifiers and no task ever holds a whole bitmap.
-    Rows whose identifier is null throughout count nothing; a null cell column is a cell value of its own.
-    Words are combined before the shuffle, so a hot identifier or cell sends one row per word and task.
+    Each identifier sets the bit that its hash names.  A cell's bitmap is ``bits`` long, a power of two that is kept
+    with the words; words without a set bit are not stored, so a small cell costs as little as its identifiers and no
+    task ever holds a whole bitmap.  Rows whose identifier is null throughout count nothing; a null cell column is a
+    cell value of its own.  Words are combined before the shuffle, so a hot identifier or cell sends one row per word
+    and task.
     """
+    if bits < WORD_BITS or bits & (bits - 1):
+        raise ValueError("a bitmap has a power of two of bits, 64 at least")
     at = F.pmod(F.xxhash64(*identifier), F.lit(bits))
     known = F.coalesce(*[F.col(c) for c in identifier]).isNotNull()
     return (
@@ -51,17 +55,41 @@ def bitmap_words(df: DataFrame, cell: list[str], identifier: list[str], bits: in
         .select(*cell, at.alias("at"))
         .select(
             *cell,
-            F.floor(F.col("at") / WORD_BITS).alias("word_no"),
-            F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(WORD_BITS)).cast("int")).alias("word"),
+            F.shiftright("at", 6).alias("word_no"),
+            F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(WORD_BITS - 1)).cast("int")).alias("word"),
         )
         .groupBy(*cell, "word_no")
         .agg(F.bit_or("word").alias("word"))
+        .select(F.lit(bits).cast("long").alias("bits"), "*")
     )
 
 
-def union_words(words: DataFrame, cell: list[str]) -> DataFrame:
-    """Merge partial results (of other days, inputs or finer cells) by bitwise union."""
-    return words.groupBy(*cell, "word_no").agg(F.bit_or("word").alias("word"))
+def smallest_bits(words: DataFrame) -> int | None:
+    """The size of the smallest bitmaps among the partial results; None if there are none."""
+    return words.agg(F.min("bits")).first()[0]
+
+
+def union_words(words: DataFrame, cell: list[str], bits: int | None = None) -> DataFrame:
+    """Merge partial results (of other days, inputs or finer cells) by bitwise union.
+
+    Bitmaps of different sizes are folded to the smallest of them, or to ``bits``: a place in a larger bitmap, modulo
+    the smaller size, is the identifier's place there, as sizes are powers of two.  Without ``bits`` the sizes are read
+    first.  A bitmap cannot be made larger, so one that is smaller than ``bits`` is an error.
+    """
+    smallest = smallest_bits(words)
+    bits = bits or smallest or WORD_BITS
+    if smallest is not None and smallest < bits:
+        raise ValueError(f"a bitmap of {smallest} bits cannot be merged into one of {bits}")
+    folded = words.select(*cell, F.pmod("word_no", F.lit(bits // WORD_BITS)).alias("word_no"), "word")
+    merged = folded.groupBy(*cell, "word_no").agg(F.bit_or("word").alias("word"))
+    return merged.select(F.lit(bits).cast("long").alias("bits"), "*")
+
+
+def cell_counts(words: DataFrame, cell: list[str], bits: int) -> DataFrame:
+    """Estimated distinct identifiers per cell (``distinct_keys``, ``relative_error``), from words of one size."""
+    counted = words.groupBy(*cell).agg(F.sum(F.bit_count("word").cast("long")).alias("ones"))
+    estimate = estimate_column(F.col("ones"), bits)
+    return counted.select(*cell, F.round(estimate).cast("long").alias("distinct_keys"), error_column(estimate, bits).alias("relative_error"))
 
 
 def estimate_column(ones: Column, bits: int) -> Column:

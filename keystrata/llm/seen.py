@@ -119,7 +119,8 @@ def screen(firsts: DataFrame, source: str, entity: list[str], shards: int, finge
     )
 
 
-def _prepared(df: DataFrame, source: str, entity: list[str], order: str, generations: int, shard_rows: int):
+def prepared(df: DataFrame, source: str, entity: list[str], order: str, generations: int, shard_rows: int):
+    """The rows with a key, the first row of each key in each of ``generations`` batches, and a number of shards."""
     rows = df.select(source, *entity, F.col(order).cast("long").alias(order)).dropna()
     # the sources are the few tables the records come from
     spans = rows.groupBy(source).agg(F.max(order).alias("last"), F.count("*").alias("n")).collect()
@@ -148,7 +149,7 @@ def seen_before(
     groups them by all bytes of their key.  Rows of the result are the input without those found new; this last
     step compares row numbers only, so no hot key meets in one task.
     """
-    rows, firsts, shards = _prepared(df, source, entity, order, generations, shard_rows)
+    rows, firsts, shards = prepared(df, source, entity, order, generations, shard_rows)
     screened = screen(firsts, source, entity, shards, fingerprint)
     doubtful = F.col("maybe_earlier") | F.col("maybe_later")
     checked = screened.select(
@@ -176,7 +177,7 @@ def error_rates(
     fingerprint: type = np.uint16,
 ) -> DataFrame:
     """Per source and batch: keys probed, "maybe" answers, wrong ones by the exact check, and the expected rate."""
-    _, firsts, shards = _prepared(df, source, entity, order, generations, shard_rows)
+    _, firsts, shards = prepared(df, source, entity, order, generations, shard_rows)
     screened = screen(firsts, source, entity, shards, fingerprint)
     oldest = screened.groupBy(source, *entity).agg(
         F.min(F.struct("generation", F.col("maybe_earlier"))).alias("oldest"),

@@ -109,4 +109,15 @@ def test_bitmaps_merge(spark):
     key = lambda x: sorted(map(tuple, x.select("d", "word_no", "word").collect()))
     assert key(distinct.union_words(parts, ["d"])) == key(whole)
     assert distinct.union_words(whole.limit(0), ["d"]).count() == 0
+    # days stored with larger bitmaps fold to the smaller size
+    large = distinct.bitmap_words(df.where("d % 2 = 0"), ["d"], ["id"], bits * 8)
+    mixed = large.unionByName(distinct.bitmap_words(df.where("d % 2 = 1"), ["d"], ["id"], bits))
+    assert key(distinct.union_words(mixed, ["d"])) == key(whole) and distinct.smallest_bits(mixed) == bits
+    assert {r.bits for r in distinct.union_words(mixed, ["d"]).collect()} == {bits}
+    with pytest.raises(ValueError):
+        distinct.union_words(mixed, ["d"], bits * 2)
+    with pytest.raises(ValueError):
+        distinct.bitmap_words(df, ["d"], ["id"], 1000)
+    for r in distinct.cell_counts(distinct.union_words(mixed, ["d"]), ["d"], bits).collect():
+        assert abs(r.distinct_keys - 600) <= 5 * max(r.relative_error, 0.004) * 600 + 1
     assert distinct.relative_error(10, 1 << 20) < 0.001 and distinct.bitmap_bits(10**9) < 10**9

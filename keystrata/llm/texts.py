@@ -66,7 +66,7 @@ def p7_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reading level of every document of at least 30 spoken words."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_label")
-    return reading.reading_levels(spark, docs, "doc_id", "text", labels, "doc_id", "reading_level")
+    return reading.reading_levels(spark, docs, "doc_id", "text", labels, "doc_id", "reading_level", language="lang")
 
 
 QUERIES = {

@@ -259,13 +259,21 @@ def anchors(passages: list[np.ndarray], frequency: np.ndarray, min_words: int) -
     return np.concatenate([passages[i][o] for o, i in out]).astype(np.int64), items.astype(np.int64), offsets.astype(np.int64)
 
 
+def _rows(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pieces of an array, given by first place and size: the places, and of which piece each is."""
+    piece = np.repeat(np.arange(len(size)), size)
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(len(piece)), piece
+
+
 class _Searched:
     """One block of passages and what tasks need to search for them."""
 
     def __init__(self, passages, forms, n_codes, frequency, signs, min_words, near_words):
-        self.passages, self.n_codes, self.signs = passages, n_codes, signs
+        self.n_items, self.n_codes, self.signs = len(passages), n_codes, signs
         self.min_words, self.near_words = min_words, near_words
-        self.longest = max((len(p) for p in passages), default=0)
+        self.sizes = np.array([len(p) for p in passages], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.codes = np.concatenate(passages) if passages else np.zeros(0, np.int32)
         # pairs (form, term) that count as equal: anywhere, or only between whole neighbours
         self.anywhere = np.array(sorted(f * n_codes + t for f, t, n in forms if n >= DAMAGED_LETTERS), np.int64)
         self.flanked = np.array(sorted(f * n_codes + t for f, t, n in forms if n < DAMAGED_LETTERS), np.int64)
@@ -282,29 +290,26 @@ class _Searched:
         at = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
         return pairs[at] == keys
 
-    def equal(self, passage: np.ndarray, text: np.ndarray) -> np.ndarray:
-        """Which words are the same, one of them perhaps damaged; ``text`` may be several rows."""
+    def equal(self, passage: np.ndarray, text: np.ndarray, inner: np.ndarray) -> np.ndarray:
+        """Which words are the same, one of them perhaps damaged; ``inner``: neither first nor last of its passage."""
         same = passage == text
-        open_ = np.nonzero(self.is_form[text] & ~same)
-        if len(open_[0]):
-            keys = text[open_].astype(np.int64) * self.n_codes + passage[open_[-1]]
-            # both are found by the state before, so that a damaged word is never another one's whole neighbour
-            flanked = np.flatnonzero(self._in(self.flanked, keys))
-            anywhere = self._in(self.anywhere, keys)
-            for k in flanked:
-                place = tuple(x[k] for x in open_)
-                i = place[-1]
-                if 0 < i < len(passage) - 1 and same[(*place[:-1], i - 1)] and same[(*place[:-1], i + 1)]:
-                    anywhere[k] = True
-            same[tuple(x[anywhere] for x in open_)] = True
+        open_ = np.flatnonzero(self.is_form[text] & ~same)
+        if len(open_):
+            keys = text[open_].astype(np.int64) * self.n_codes + passage[open_]
+            damaged = self._in(self.anywhere, keys)
+            # both are judged by the state before, so that a damaged word is never another one's whole neighbour
+            flanked = self._in(self.flanked, keys) & inner[open_]
+            if flanked.any():
+                damaged[flanked] |= same[open_[flanked] - 1] & same[open_[flanked] + 1]
+            same[open_[damaged]] = True
         return same
 
-    def hits(self, doc: np.ndarray, at: np.ndarray, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Intersect the anchors' lists: (document, item, start) of places where enough of an item's anchors meet.
+    def hits(self, doc: np.ndarray, at: np.ndarray, code: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Intersect the anchors' lists: (document, item, start, met) where enough of an item's anchors meet.
 
-        Each posting of an anchor, moved back by its offset, names the place where the passage would begin.
-        Postings come by document; they are taken in pieces of at most ``PAIRS`` pairs, and one document with more
-        in pieces of items.
+        Each posting of an anchor, moved back by its offset, names the place where the passage would begin.  All
+        places of a document and item are given if at one of them anchors meet, which ``met`` marks.  Postings come
+        by document; they are taken in pieces of at most ``PAIRS`` pairs, and one document with more in pieces of items.
         """
         n = self.first[code + 1] - self.first[code]
         some = n > 0
@@ -321,64 +326,86 @@ class _Searched:
             part = slice(new[low], ends[high - 1])
             pairs = int(n[part].sum())
             pieces = -(-pairs // PAIRS) if high == low + 1 else 1
-            bounds = np.linspace(0, len(self.passages), min(pieces, max(1, len(self.passages))) + 1).astype(np.int64)
+            bounds = np.linspace(0, self.n_items, min(pieces, max(1, self.n_items)) + 1).astype(np.int64)
             for a, b in zip(bounds[:-1], bounds[1:]):
-                yield from self._met(doc[part], at[part], code[part], int(a), int(b))
+                yield self._met(doc[part], at[part], code[part], int(a), int(b))
             low = high
 
     def _met(self, doc, at, code, item_low, item_high):
         first, last = self.first[code], self.first[code + 1]
-        if item_low > 0 or item_high < len(self.passages):
+        if item_low > 0 or item_high < self.n_items:
             # anchors of a term are sorted by item
-            key = self.item + np.repeat(np.arange(self.n_codes), np.diff(self.first)) * len(self.passages)
-            first = np.searchsorted(key, code * len(self.passages) + item_low)
-            last = np.searchsorted(key, code * len(self.passages) + item_high)
-        n = last - first
-        which = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-        d, start = np.repeat(doc, n), np.repeat(at, n) - self.offset[which]
-        item = self.item[which]
+            key = self.item + np.repeat(np.arange(self.n_codes), np.diff(self.first)) * self.n_items
+            first = np.searchsorted(key, code * self.n_items + item_low)
+            last = np.searchsorted(key, code * self.n_items + item_high)
+        which, posting = _rows(first, last - first)
+        d, item, start = doc[posting].astype(np.int64), self.item[which], at[posting] - self.offset[which]
         order = np.lexsort((start, item, d))
         d, item, start = d[order], item[order], start[order]
-        if not len(d):
-            return
-        new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (item[1:] != item[:-1]))))
-        near = (start[1:] - start[:-1] <= SLACK) & (d[1:] == d[:-1]) & (item[1:] == item[:-1])
+        group = d * self.n_items + item
+        near = (group[1:] == group[:-1]) & (start[1:] - start[:-1] <= SLACK)
         met = np.zeros(len(d), bool)
         met[1:] |= near
         met[:-1] |= near
-        for a, b in zip(new, np.append(new[1:], len(d))):
-            if met[a:b].any():
-                yield int(d[a]), int(item[a]), np.unique(start[a:b][met[a:b]]), np.unique(start[a:b])
-
-    def runs(self, passage: np.ndarray, full: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
-        """(first offset, end offset, start) of the unbroken stretches of a passage laid over a text at the starts."""
-        out = []
-        for start in starts.tolist():
-            low, high = max(0, -start), min(len(passage), len(full) - start)
-            if high <= low:
-                continue
-            same = self.equal(passage[low:high], full[start + low : start + high])
-            edges = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0])))) + low
-            out += zip(edges[::2].tolist(), edges[1::2].tolist(), [start] * (len(edges) // 2))
-        return out
-
-    def joined(self, runs, cues: np.ndarray, marks: np.ndarray, full: np.ndarray) -> tuple[int, int, list[int]]:
+        new = np.concatenate(([True], group[1:] != group[:-1])) if len(d) else np.zeros(0, bool)
+        kept = np.zeros(len(d), bool)
+        if len(d):
+            begins = np.flatnonzero(new)
+            kept = np.repeat(np.logical_or.reduceat(met, begins), np.diff(_edges(begins, len(d))))
+        once = kept & np.concatenate(([True], (group[1:] != group[:-1]) | (start[1:] != start[:-1])))[: len(d)]
+        return d[once], item[once], start[once], met[once]
+
+    def laid(self, full: np.ndarray, base: np.ndarray, length: np.ndarray, item: np.ndarray, start: np.ndarray):
+        """Passages laid over texts (``base`` and ``length`` in ``full``) at the starts; the words of all, one after the other."""
+        size = self.sizes[item]
+        place, piece = _rows(self.begins[item], size)
+        offset = place - self.begins[item][piece]
+        at = start[piece] + offset
+        words = self.codes[place]
+        inner = (offset > 0) & (offset < size[piece] - 1)
+
+        def at_shift(shift: int) -> np.ndarray:
+            p = at + shift
+            inside = (p >= 0) & (p < length[piece])
+            return self.equal(words, np.where(inside, full[base[piece] + np.where(inside, p, 0)], -1), inner)
+
+        return at_shift, np.cumsum(size) - size, offset
+
+    def runs(self, same: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The longest unbroken stretch of each passage."""
+        places = np.arange(len(same))
+        stop = np.where(same, -1, places)
+        stop[first] = np.maximum(stop[first], first - 1)
+        return np.maximum.reduceat(np.where(same, places - np.maximum.accumulate(stop), 0), first)
+
+    def windows(self, same: np.ndarray, first: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        """The most words of any window of ``min_words`` of each passage."""
+        total = np.concatenate(([0], np.cumsum(same)))
+        back = np.minimum(offset + 1, self.min_words)
+        end = np.arange(1, len(same) + 1)
+        return np.maximum.reduceat(total[end] - total[end - back], first)
+
+    def joined(self, item: int, starts: np.ndarray, cues: np.ndarray, marks: np.ndarray, full: np.ndarray) -> tuple[int, int, list[int]]:
         """The longest stretch with single cues in between that may be adverts: words, words without, cues to be judged."""
-        runs = sorted(runs, key=lambda r: (r[2] + r[0], r[0]))
+        one = np.zeros(len(starts), np.int64)
+        at_shift, first, _ = self.laid(full, one, one + len(full), np.full(len(starts), item), starts)
+        runs = []
+        for start, same in zip(starts.tolist(), np.split(at_shift(0), first[1:])):
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
+            runs += [(a, b, start) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()) if b - a > 1]
+        runs.sort(key=lambda r: (r[2] + r[0], r[0]))
         best: list[tuple[int, list[int]]] = []
         for i, (low, high, start) in enumerate(runs):
             mine = (high - low, [])
             for j in range(i):
                 a_low, a_high, a_start = runs[j]
-                gap = start - a_start
-                if not 0 < gap <= ADVERT_WORDS or a_high < low or a_low >= low and a_low > 0 and a_low >= high:
+                if not 0 < start - a_start <= ADVERT_WORDS or a_high < low:
                     continue
                 for o in range(max(low, a_low + 1), min(a_high, high - 1) + 1):
                     c = int(np.searchsorted(cues, a_start + o))
                     if c + 1 >= len(cues) or cues[c] != a_start + o or cues[c + 1] != start + o:
                         continue
-                    between = full[a_start + o : start + o]
-                    judged = [] if np.isin(between, self.signs).any() else [int(marks[c])]
+                    judged = [] if np.isin(full[a_start + o : start + o], self.signs).any() else [int(marks[c])]
                     words = best[j][0] - (a_high - o) + (high - o)
                     if words > mine[0]:
                         mine = (words, best[j][1] + judged)
@@ -387,44 +414,33 @@ class _Searched:
         most = max(best, key=lambda b: b[0], default=(0, []))
         return most[0], sure, most[1] if most[0] > sure else []
 
-    def shared(self, passage: np.ndarray, full: np.ndarray, start: int) -> int:
-        """Of a window of a passage's successive words, the most that stand near ``start`` in the same order."""
-        length = len(passage)
-        shifts = np.arange(start - SLACK, start + SLACK + 1)
-        places = shifts[:, None] + np.arange(length)[None, :]
-        inside = (places >= 0) & (places < len(full))
-        same = self.equal(passage, np.where(inside, full[np.clip(places, 0, len(full) - 1)], -1))
-        any_ = np.concatenate(([0], np.cumsum(same.any(axis=0))))
-        width = min(self.min_words, length)
-        most = int((any_[width:] - any_[:-width]).max())
-        if most < self.near_words:
-            return most
+    def in_order(self, shifted: np.ndarray) -> int:
+        """Of a window of successive words, the most in rising order, from which of them stand where, by shift and word."""
+        row, offsets = np.nonzero(shifted)
+        places = offsets + row
+        order = np.lexsort((-places, offsets))
         tails: list[int] = []
-        offsets: list[int] = []
         back: list[int] = []
-        nodes: list[tuple[int, int]] = []
         tail_nodes: list[int] = []
-        row, o = np.nonzero(same)
-        pairs = np.stack([o, places[row, o]])
-        pairs = pairs[:, np.lexsort((-pairs[1], pairs[0]))]
+        nodes = list(zip(offsets[order].tolist(), places[order].tolist()))
         # longest increasing chain: offsets up, places up
-        for o, p in zip(*pairs.tolist()):
+        for i, (_, p) in enumerate(nodes):
             k = bisect_left(tails, p)
-            nodes.append((o, p))
             back.append(tail_nodes[k - 1] if k else -1)
             if k == len(tails):
                 tails.append(p)
-                tail_nodes.append(len(nodes) - 1)
+                tail_nodes.append(i)
             else:
-                tails[k], tail_nodes[k] = p, len(nodes) - 1
+                tails[k], tail_nodes[k] = p, i
+        chain = []
         at = tail_nodes[-1] if tail_nodes else -1
         while at >= 0:
-            offsets.append(nodes[at][0])
+            chain.append(nodes[at][0])
             at = back[at]
-        offsets.reverse()
+        chain.reverse()
         low = most = 0
-        for high, o in enumerate(offsets):
-            while offsets[low] <= o - self.min_words:
+        for high, o in enumerate(chain):
+            while chain[low] <= o - self.min_words:
                 low += 1
             most = max(most, high - low + 1)
         return most
@@ -432,55 +448,79 @@ class _Searched:
     def search(self, table: pa.Table) -> list[list]:
         """(id, item number, words, joined words, cues to be judged, shared) of one batch of documents."""
         out: list[list] = [[], [], [], [], [], []]
-        cue_rows = [i for i, c in enumerate(table["code"].to_pylist()) if c < 0]
         codes = table["code"].to_numpy()
         ids = [x.values for x in table["ids"]]
-        lengths = [len(x) for x in ids]
-        every = pa.concat_arrays([x.cast(ids[0].type) for x in ids])
-        numbered = every.dictionary_encode()
-        number = numbered.indices.to_numpy()
+        numbered = pa.concat_arrays(ids).dictionary_encode()
         counts = np.concatenate([np.asarray(x.values) for x in table["counts"]])
         position = np.concatenate([np.asarray(x.values) for x in table["positions"]])
-        doc = np.repeat(number, counts)
-        code = np.repeat(np.repeat(codes, lengths), counts)
+        doc = np.repeat(numbered.indices.to_numpy(), counts)
+        code = np.repeat(np.repeat(codes, [len(x) for x in ids]), counts)
         cue = code < 0
-        mark = np.zeros(len(doc), np.int64)
-        if cue_rows:
-            mark[cue] = np.concatenate([np.asarray(table["marks"][i].values) for i in cue_rows])
-        cue_doc, cue_at, cue_mark = doc[cue], position[cue], mark[cue]
+        mark = [np.asarray(table["marks"][i].values) for i in np.flatnonzero(codes < 0).tolist()]
+        cue_doc, cue_at, cue_mark = doc[cue], position[cue], np.concatenate(mark) if mark else np.zeros(0, np.int32)
         order = np.lexsort((cue_at, cue_doc))
         cue_doc, cue_at, cue_mark = cue_doc[order], cue_at[order], cue_mark[order]
         doc, position, code = doc[~cue], position[~cue].astype(np.int64), code[~cue]
         order = np.lexsort((position, doc))
         doc, position, code = doc[order], position[order], code[order]
-        held, full, cues, marks = -1, None, None, None
-        for d, item, met, starts in self.hits(doc, position, code):
-            if d != held:
-                low, high = np.searchsorted(doc, [d, d + 1])
-                a, b = np.searchsorted(cue_doc, [d, d + 1])
-                full = np.full(int(position[high - 1]) + 1, -1, np.int32)
-                full[position[low:high]] = code[low:high]
-                cues, marks, held = cue_at[a:b], cue_mark[a:b], d
-            passage = self.passages[item]
-            laid = self.runs(passage, full, met)
-            words = max((r[1] - r[0] for r in laid), default=0)
-            joined, judged, shared = words, [], min(words, self.min_words)
-            if words < self.min_words:
-                if len(starts) > 1 and starts[-1] - starts[0] > 0:
-                    every_run = [r for r in self.runs(passage, full, starts) if r[1] - r[0] > 1]
-                    joined, words_sure, judged = self.joined(every_run, cues, marks, full)
-                    words = max(words, words_sure)
-                    joined = max(joined, words)
-                if joined < self.near_words:
-                    shared = max(self.shared(passage, full, s) for s in met.tolist())
-                else:
-                    shared = max(shared, min(joined, self.min_words))
-                if joined < self.min_words and shared < self.near_words:
-                    continue
-            for column, x in zip(out, (numbered.dictionary[d].as_py(), item, words, joined, judged, shared)):
-                column.append(x)
+        # the texts as far as they have postings, one after the other; -1 where another word stands
+        last = np.flatnonzero(np.append(doc[1:] != doc[:-1], True)) if len(doc) else np.zeros(0, np.int64)
+        length = np.zeros(len(numbered.dictionary), np.int64)
+        length[doc[last]] = position[last] + 1
+        base = np.cumsum(length) - length
+        full = np.full(int(length.sum()), -1, np.int32)
+        full[base[doc] + position] = code
+        cue_first = np.searchsorted(cue_doc, np.arange(len(length) + 1))
+        for d, item, start, met in self.hits(doc, position, code):
+            groups = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (item[1:] != item[:-1]))) if len(d) else np.zeros(0, np.int64)
+            cuts = [0]
+            for g in groups[1:].tolist():
+                if self.sizes[item[cuts[-1] : g]].sum() * (2 * SLACK + 1) > PAIRS:
+                    cuts.append(g)
+            for low, high in zip(cuts, [*cuts[1:], len(d)]):
+                if high > low:
+                    self._judge(d[low:high], item[low:high], start[low:high], met[low:high], full, base, length, cue_first, cue_at, cue_mark, numbered.dictionary, out)
         return out
 
+    def _judge(self, d, item, start, met, full, base, length, cue_first, cue_at, cue_mark, names, out) -> None:
+        at_shift, first, _ = self.laid(full, base[d], length[d], item, start)
+        run = self.runs(at_shift(0), first)
+        group_first = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (item[1:] != item[:-1])))
+        group_end = np.append(group_first[1:], len(d))
+        best = np.maximum.reduceat(run, group_first)
+        of = np.repeat(np.arange(len(group_first)), group_end - group_first)
+        # near: only where no stretch is long enough
+        wanted = np.flatnonzero(met & (best[of] < self.min_words))
+        shared = np.minimum(best, self.min_words)
+        if len(wanted):
+            at_shift, first, offset = self.laid(full, base[d[wanted]], length[d[wanted]], item[wanted], start[wanted])
+            shifted = np.stack([at_shift(x) for x in range(-SLACK, SLACK + 1)])
+            near = self.windows(shifted[SLACK], first, offset)
+            bound = self.windows(shifted.any(axis=0), first, offset)
+            for i in np.flatnonzero((near < self.near_words) & (bound >= self.near_words)).tolist():
+                end = first[i + 1] if i + 1 < len(first) else len(offset)
+                near[i] = max(near[i], self.in_order(shifted[:, first[i] : end]))
+            np.maximum.at(shared, of[wanted], near)
+        # stretches with a cue in between: the two longest of a group must be enough together
+        two = np.zeros(len(group_first), np.int64)
+        ranked = np.lexsort((-run, of))
+        second = group_first + 1
+        more = second < group_end
+        two[more] = run[ranked][group_first[more]] + run[ranked][second[more]]
+        for g in range(len(group_first)):
+            words, joined, judged, i = int(best[g]), int(best[g]), [], int(group_first[g])
+            n, number = int(d[i]), int(item[i])
+            if words < self.min_words <= two[g]:
+                a, b = cue_first[n], cue_first[n + 1]
+                text = full[base[n] : base[n] + length[n]]
+                joined, sure, judged = self.joined(number, start[i : group_end[g]], cue_at[a:b], cue_mark[a:b], text)
+                words = max(words, sure)
+                joined = max(joined, words)
+            if joined < self.min_words and shared[g] < self.near_words:
+                continue
+            for column, x in zip(out, (names[n].as_py(), number, words, joined, judged, int(max(shared[g], min(words, self.min_words))))):
+                column.append(x)
+
 
 def _search_block(spark: SparkSession, index: Index, asked: DataFrame, id_type: str, min_words: int, near_words: int) -> DataFrame:
     """(id, row, words, joined, judged, shared) for the passages of one block (row, words)."""
@@ -555,7 +595,7 @@ def search(
     difference (see ``damaged_forms`` and ``skeleton``), nor does a single cue in between that is an advert: it has
     a word of ``ADVERT_SIGNS`` or the same cue stands in another document too.  Near: of ``min_words`` successive
     words ``shared``, at least ``near_words``, stand in the same order, with up to ``SLACK`` words more or fewer in
-    between.
+    between (what stands without such words counts if it is enough, else what stands with them).
     """
     id_type = index.postings.schema["ids"].dataType.elementType.simpleString()
     asked = items.select(F.col(item).cast("long").alias("item"), F.col(passage).cast("string").alias("passage")).dropna()

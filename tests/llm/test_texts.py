@@ -204,9 +204,10 @@ def test_pieces_of_pairs_change_nothing(spark, monkeypatch):
     whole = leaks(spark, docs, items)
     searched = leak._Searched([np.array([0, 1, 2]), np.array([1, 2, 0])], [], 3, np.array([3.0, 2.0, 1.0]), np.zeros(0, np.int32), 12, 9)
     doc, at, code = np.repeat([0, 1, 2], 300), np.tile(np.arange(300), 3), np.tile([0, 1, 2], 300)
-    one = [(d, i, m.tolist()) for d, i, m, _ in searched.hits(doc, at, code)]
+    everything = lambda: sorted(x for part in searched.hits(doc, at, code) for x in zip(*(c.tolist() for c in part)))
+    one = everything()
     monkeypatch.setattr(leak, "PAIRS", 100)
-    assert sorted((d, i, m.tolist()) for d, i, m, _ in searched.hits(doc, at, code)) == sorted(one) and len(one) == 6
+    assert everything() == one and {x[:2] for x in one} == {(d, i) for d in range(3) for i in range(2)}
     assert len(whole) == 18
 
 
@@ -246,6 +247,28 @@ def test_reading_levels_on_held_out_documents(spark):
 
 
 def test_familiar_words_are_those_of_many_documents(spark):
-    docs = spark.createDataFrame([(i, srt(["the cat sat " * 12 + ("rare" if i == 0 else "mat")])) for i in range(10)], "id bigint, text string")
-    lists = reading.familiar_words(reading.document_frequencies(docs))
-    assert lists["en"] >= {skeleton("the"), skeleton("cat"), skeleton("mat")} and skeleton("rare") not in lists["en"]
+    texts = [(i, srt(["the cat sat " * 12 + ("rare" if i == 0 else "mat")]), "en") for i in range(30)]
+    docs = spark.createDataFrame(texts, "id bigint, text string, label string")
+    lists, count = reading.familiar_words(spark, reading.document_frequencies(docs), (0.01, 0.5, 0.97))
+    assert count == 1 and lists[skeleton("the")] == [3] and lists[skeleton("mat")] == [2] and lists[skeleton("rare")] == [1]
+
+
+def test_languages_are_told_by_their_words(spark):
+    rng, texts = random.Random(3), []
+    own = {"a": ["lo", "mi", "ra", "tu", "so", "ne"], "b": ["der", "und", "ist", "ein", "das", "wir"], "ж": ["мир", "дом", "лес", "кот", "снег", "путь"]}
+    for i in range(480):
+        language = "abж"[i % 3]
+        label = rng.choice([language, language, language.upper() + "-x", None] if i % 10 else ["a"])
+        words = [rng.choice(own[language]) for _ in range(40)]
+        texts.append((i, srt([" ".join(words[k : k + 8]) + "." for k in range(0, 40, 8)]), (label or "").lower()))
+    docs = spark.createDataFrame(texts, "id bigint, text string, label string")
+    frequencies = reading.document_frequencies(docs)
+    groups = reading.languages(frequencies)
+    assert groups["a"] == groups["a-x"] != groups["b"] == groups["b-x"] != groups["ж"] == groups["ж-x"]
+    shares = (0.05, 0.3, 0.5)
+    familiar, count = reading.familiar_words(spark, frequencies, shares)
+    odd = spark.createDataFrame([(999, srt(["qqq www eee rrr zzz " * 8]), "a")], docs.schema)
+    found = {r.id: r for r in reading.features(docs.union(odd), familiar, count, shares, "bigint").collect()}
+    for i in range(480):
+        assert found[i].language == groups["abж"[i % 3]] and found[i].u1 == 0 and found[i].sentence is not None
+    assert found[999].language == -1 and found[999].u0 == 1 and found[999].sentence is None

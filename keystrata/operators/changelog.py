@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keystrata.sources.shared import shared_dir
 from keystrata.streaming.cdc import is_delete
 
 #: Bytes of a log record besides key and value, and of an internal key besides the user key.
@@ -73,13 +74,24 @@ def next_sequence(*logs: DataFrame) -> DataFrame:
 
 
 def assign_sequences(df: DataFrame, order: str, base: int = 0) -> DataFrame:
-    """Number new writes of a micro-batch densely after ``base`` in order of ``order`` (unique).
+    """Number new writes densely after ``base`` in order of ``order`` (unique), as ``sequence``.
 
-    Dense numbers need one order; only the batch's order column is sorted in one place, and the rows get their
-    numbers by a join.  A batch is bounded by its trigger; a whole history comes with its sequences.
+    Range partitions of the order are written to the shared folder and counted; each numbers its own rows after all
+    rows of the partitions before it.  No task sees more than its partition.
     """
-    numbers = df.select(order).withColumn("sequence", F.row_number().over(Window.orderBy(order)) + F.lit(base))
-    return df.join(numbers, order)
+    spark = df.sparkSession
+    path = shared_dir(spark, "numbered")
+    # the columns travel as one struct, so none of their names can clash
+    packed = df.select(F.struct(*df.columns).alias("row"), F.col(order).alias("at"))
+    placed = packed.repartitionByRange("at").withColumn("part", F.spark_partition_id())
+    placed.write.parquet(path)
+    stored = spark.read.schema(placed.schema).parquet(path)
+    # one row per partition
+    before = F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = stored.groupBy("part").count().select("part", before.alias("base"))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("at"))
+    numbered = stored.join(F.broadcast(offsets), "part").select("row", (nth + F.col("base") + base).cast("long").alias("sequence"))
+    return numbered.select(*[F.col("row")[c].alias(c) for c in df.columns], "sequence")
 
 
 def record_bytes() -> F.Column:

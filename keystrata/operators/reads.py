@@ -26,16 +26,17 @@ def live(entries: DataFrame, keys: list[str] = KEY) -> DataFrame:
     return newest(entries, keys).where(~F.col("tombstone")).drop("tombstone")
 
 
-def get(entries: DataFrame, key: bytes) -> DataFrame:
+def get(entries: DataFrame, key: bytes, stores: DataFrame | None = None) -> DataFrame:
     """One key in every store: ``status`` 'ok' with the value, or 'not_found' with null.
 
-    The key's filter goes below the aggregation down to the scan.  A store that never had the key answers too.
+    The key's filter goes below the aggregation down to the scan.  ``stores`` (store_id) are those that answer, a
+    store that never had the key too; without it only stores whose log has the key do, and nothing else is read.
     """
-    stores = entries.select("store_id").distinct()
-    found = live(entries.where(F.col("key") == F.lit(key))).select("store_id", "value")
-    return stores.join(found, "store_id", "left").select(
-        "store_id", F.lit(key).alias("key"), status().alias("status"), "value"
-    )
+    found = newest(entries.where(F.col("key") == F.lit(key)))
+    found = found.select("store_id", F.when(~F.col("tombstone"), F.col("value")).alias("value"))
+    if stores is not None:
+        found = stores.select("store_id").distinct().join(found, "store_id", "left")
+    return found.select("store_id", F.lit(key).alias("key"), status().alias("status"), "value")
 
 
 def status() -> Column:
@@ -61,9 +62,9 @@ def layered_get(layers: list[DataFrame]) -> DataFrame:
 
 
 def scan(
-    entries: DataFrame, start: bytes | None = None, end: bytes | None = None, *, reverse: bool = False, limit: int | None = None
+    entries: DataFrame, start: bytes | None = None, end: bytes | None = None, *, reverse: bool = False, limit: int | None = None, offset: int = 0
 ) -> DataFrame:
-    """Live entries with start <= key < end in byte order (or reverse), the first ``limit`` of them.
+    """Live entries with start <= key < end in byte order (or reverse), ``limit`` of them after the first ``offset``.
 
     Either end may be open.  The range is filtered before the newest version is taken.  With a limit Spark takes
     the first rows of each partition instead of sorting all.
@@ -74,6 +75,7 @@ def scan(
         entries = entries.where(F.col("key") < F.lit(end))
     order = [F.col("key").desc() if reverse else F.col("key").asc(), F.col("store_id").asc()]
     found = live(entries).orderBy(*order)
+    found = found.offset(offset) if offset else found
     return found if limit is None else found.limit(limit)
 
 

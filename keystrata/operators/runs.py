@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keystrata.operators.changelog import block_entry_bytes
+from keystrata.operators.ordered import greedy_cut, last_before, sum_before
 
 #: Bytes of a data block's header, of a footer, and of an index entry besides key and key length.
 HEADER_BYTES, FOOTER_BYTES, INDEX_ENTRY_BYTES = 20, 8, 16
@@ -17,45 +14,6 @@ HEADER_BYTES, FOOTER_BYTES, INDEX_ENTRY_BYTES = 20, 8, 16
 BLOCK_BYTES = 4096
 
 
-def greedy_cut(df: DataFrame, group: list[str], order: list[str], size: str, capacity: str, name: str) -> DataFrame:
-    """Number the pieces (from 0) into which each group's ordered rows are cut.
-
-    A piece is closed by the row with which its sizes exceed ``capacity``; the next row begins the next piece, from
-    zero again.  The total starts anew at a place that depends on all cuts before, so no window function gives it.
-    Partitions are sorted and streamed once, and what is carried from batch to batch is a total and a number:
-    memory does not grow with a group.  Group columns are integers without nulls; equal order keys may come in
-    either order, so order by a unique column last.
-    """
-    field = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, `{name}` bigint"
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, total, number = None, 0, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = np.stack([batch.column(batch.schema.get_field_index(g)).to_numpy(zero_copy_only=False) for g in group])
-            sizes = batch.column(batch.schema.get_field_index(size)).to_numpy(zero_copy_only=False).astype(np.int64)
-            limits = batch.column(batch.schema.get_field_index(capacity)).to_numpy(zero_copy_only=False)
-            edges = np.flatnonzero((columns[:, 1:] != columns[:, :-1]).any(axis=0)) + 1
-            pieces = np.empty(batch.num_rows, np.int64)
-            for start, stop in zip([0, *edges], [*edges, batch.num_rows]):
-                key = tuple(columns[:, start])
-                if key != current:
-                    current, total, number = key, 0, 0
-                sums = np.cumsum(sizes[start:stop])
-                at, base, limit = 0, -total, limits[start]
-                while at < stop - start:
-                    last = int(np.searchsorted(sums, base + limit, side="right"))
-                    pieces[start + at : min(start + last + 1, stop)] = number
-                    if last >= stop - start:
-                        break
-                    number, base, at = number + 1, int(sums[last]), last + 1
-                total = int(sums[-1]) - base
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces)], names=[*batch.schema.names, name])
-
-    return df.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(cut, field)
-
-
 def generations(log: DataFrame, capacities: DataFrame, node_bytes: F.Column, head_bytes: int) -> DataFrame:
     """The in-memory table (``generation``) that each record of a log went to.
 
@@ -83,8 +41,7 @@ def block_index(cut: DataFrame) -> DataFrame:
         (F.sum("bytes") + HEADER_BYTES).alias("block_size"),
         F.min("key").alias("smallest_key"),
     )
-    before = Window.partitionBy("store_id", "run_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
-    return one.withColumn("block_offset", F.coalesce(F.sum("block_size").over(before), F.lit(0)))
+    return sum_before(one, ["store_id", "run_id"], ["block_no"], "block_size", "block_offset")
 
 
 def footers(index: DataFrame) -> DataFrame:
@@ -103,16 +60,17 @@ def footers(index: DataFrame) -> DataFrame:
 def locate_blocks(probes: DataFrame, index: DataFrame) -> DataFrame:
     """The block of a run that may hold a key: the last whose smallest key is not above it; null if there is none.
 
-    ``probes``: store_id, run_id, key and more; ``index``: store_id, run_id, smallest_key, block_id.  Both are put
-    in one order per run and the last block seen is carried on, instead of comparing each key with each block.
+    ``probes``: store_id, run_id, key and more; ``index``: store_id, run_id, smallest_key, block_id.  Both are put in one order per run and the last block seen is carried on, chunk by chunk,
+    instead of comparing each key with each block.
     """
     names = [c for c in probes.columns if c not in ("store_id", "run_id", "key")]
-    carried = F.struct("block_id").alias("block")
-    left = probes.select("store_id", "run_id", "key", F.lit(1).alias("side"), F.struct(*names).alias("rest") if names else F.lit(None).alias("rest"), F.lit(None).cast("struct<block_id:bigint>").alias("block"))
-    right = index.select("store_id", "run_id", F.col("smallest_key").alias("key"), F.lit(0).alias("side"), F.lit(None).cast(left.schema["rest"].dataType).alias("rest"), F.struct(F.col("block_id").cast("long").alias("block_id")).alias("block"))
-    order = Window.partitionBy("store_id", "run_id").orderBy("key", "side", "block.block_id").rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right).withColumn("block", F.last("block", ignorenulls=True).over(order))
-    return both.where(F.col("side") == 1).select("store_id", "run_id", "key", *[f"rest.{n}" for n in names], "block.block_id")
+    # the other columns travel as one struct, so none of their names can clash
+    rest = F.struct(*names) if names else F.lit(None).cast("struct<none:int>")
+    left = probes.select("store_id", "run_id", "key", F.lit(1).alias("side"), rest.alias("rest"), F.lit(None).cast("long").alias("begins"))
+    right = index.groupBy("store_id", "run_id", F.col("smallest_key").alias("key")).agg(F.max("block_id").cast("long").alias("begins"))
+    right = right.select("store_id", "run_id", "key", F.lit(0).alias("side"), F.lit(None).cast(left.schema["rest"].dataType).alias("rest"), "begins")
+    both = last_before(left.unionByName(right), ["store_id", "run_id"], ["key", "side"], "begins", "block_id")
+    return both.where(F.col("side") == 1).select("store_id", "run_id", "key", *[F.col("rest")[n].alias(n) for n in names], "block_id")
 
 
 def prefix_lengths(cut: DataFrame, restart: int = 16) -> DataFrame:
@@ -135,9 +93,10 @@ def separate_values(entries: DataFrame, threshold: int) -> tuple[DataFrame, Data
     Values longer than ``threshold`` bytes go to the log of their run, in key order.
     """
     large = F.octet_length("value") > threshold
-    before = Window.partitionBy("store_id", "run_id").orderBy("key", F.col("sequence").desc()).rowsBetween(Window.unboundedPreceding, -1)
     size = F.octet_length("value").cast("long")
-    placed = entries.withColumn("value_offset", F.coalesce(F.sum(F.when(large, size).otherwise(0)).over(before), F.lit(0)))
+    own = entries.select("store_id", "run_id", "key", "sequence", "tombstone", "value")
+    counted = own.withColumn("log_bytes", F.when(large, size).otherwise(0)).withColumn("newest_first", -F.col("sequence"))
+    placed = sum_before(counted, ["store_id", "run_id"], ["key", "newest_first"], "log_bytes", "value_offset").drop("log_bytes", "newest_first")
     pointers = placed.select(
         "store_id", "run_id", "key", "sequence", "tombstone",
         F.when(~large, F.col("value")).alias("value"),
@@ -149,7 +108,13 @@ def separate_values(entries: DataFrame, threshold: int) -> tuple[DataFrame, Data
     return pointers, log
 
 
-def flush(entries: DataFrame, path: str, *, compression: str = "zstd", bloom: bool = True) -> None:
+def open_run(spark: SparkSession, path: str, key: bytes | None = None) -> DataFrame:
+    """Read what ``flush`` wrote; with ``key`` only its entries, past all row groups whose filter or statistics exclude it."""
+    rows = spark.read.parquet(path)
+    return rows if key is None else rows.where(F.col("key") == F.lit(key))
+
+
+def flush(entries: DataFrame, path: str, *, compression: str = "zstd", bloom: bool = True, row_group_bytes: int | None = None) -> None:
     """Write runs as Parquet, ordered by key within each file, so that row-group statistics serve as block index.
 
     Ranges go by sequence too, so the versions of a hot key are spread.  With ``bloom`` each row group gets a filter on the key for point lookups.
@@ -160,4 +125,6 @@ def flush(entries: DataFrame, path: str, *, compression: str = "zstd", bloom: bo
     )
     if bloom:
         writer = writer.option("parquet.bloom.filter.enabled#key", "true")
+    if row_group_bytes:
+        writer = writer.option("parquet.block.size", row_group_bytes)
     writer.parquet(path)

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from keystrata.functions import codec
 from keystrata.operators import changelog, compaction, indexes, reads, runs
 from keystrata.operators.script import run_script
+from keystrata.sources import runfile, wal
+from keystrata.sources.shared import shared_dir
 from keystrata.sources.tables import table
+from keystrata.streaming.feed import watch
 
 #: A key that every store has, and one that none has.
 SHARED_KEY, ABSENT_KEY = b"meta/agent/heartbeat", b"no/such/key"
@@ -55,6 +58,10 @@ def delivered_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changelog.delivered_entries(table(spark, sf_dir, "internal_key"))
 
 
+def stores_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "engine_config").select("store_id")
+
+
 def shown(df: DataFrame, *names: str) -> DataFrame:
     """The columns with keys and values in hexadecimal."""
     hidden = {"key": "key_hex", "value": "value_hex", "smallest_key": "smallest_key_hex"}
@@ -97,19 +104,19 @@ FROM s LEFT JOIN latest l ON l.store_id = s.store_id AND l.key = '%s'::BLOB AND
 @query(GET_SQL % (SHARED_KEY.decode(), SHARED_KEY.decode()))
 def kv_get(spark, sf_dir):
     """A key that all stores have."""
-    return shown(reads.get(changes_of(spark, sf_dir), SHARED_KEY), "store_id", "key", "status", "value")
+    return shown(reads.get(changes_of(spark, sf_dir), SHARED_KEY, stores_of(spark, sf_dir)), "store_id", "key", "status", "value")
 
 
 @query(GET_SQL % ("", ""))
 def kv_get_empty_key(spark, sf_dir):
     """The empty key, which is a key like any other."""
-    return shown(reads.get(changes_of(spark, sf_dir), b""), "store_id", "key", "status", "value")
+    return shown(reads.get(changes_of(spark, sf_dir), b"", stores_of(spark, sf_dir)), "store_id", "key", "status", "value")
 
 
 @query(GET_SQL % (ABSENT_KEY.decode(), ABSENT_KEY.decode()))
 def kv_get_missing(spark, sf_dir):
     """A key that no store has."""
-    return shown(reads.get(changes_of(spark, sf_dir), ABSENT_KEY), "store_id", "key", "status", "value")
+    return shown(reads.get(changes_of(spark, sf_dir), ABSENT_KEY, stores_of(spark, sf_dir)), "store_id", "key", "status", "value")
 
 
 @query(f"""WITH {LATEST_CTE}, p AS (SELECT DISTINCT store_id, smallest_key AS key FROM index_entry WHERE smallest_key IS NOT NULL)
@@ -206,9 +213,29 @@ def _encoded(log: DataFrame) -> DataFrame:
     return log.withColumn("record", record)
 
 
-@query()
+def _le(x: str, width: int) -> str:
+    digits = f"printf('%0{2 * width}X', {x})"
+    return "(" + " || ".join(f"substr({digits}, {i}, 2)" for i in range(2 * width - 1, 0, -2)) + ")"
+
+
+# a table of the checksum's steps for each byte, then one step per byte
+CRC_SQL = f"""WITH {LOG_CTE}, t AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS steps
+), r AS (
+  SELECT store_id, sequence, CASE WHEN tombstone THEN '01' ELSE '00' END || {_le('sequence', 8)} || CASE WHEN tombstone THEN '01' ELSE '00' END ||
+    {_le('octet_length(key)', 4)} || {_le('octet_length(value)', 4)} || hex(key) || hex(value) AS body FROM log
+), b AS (
+  SELECT store_id, sequence, length(body) // 2 + 8 AS n,
+    list_transform(range(length(body) // 2), lambda i: CAST('0x' || substr(body, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS bytes FROM r
+)
+SELECT store_id, sequence, xor(list_reduce(list_concat([4294967295], bytes), lambda c, x: xor(c // 256, steps[xor(c, x) % 256 + 1])), 4294967295) AS crc32,
+  CAST(n AS INTEGER) AS n FROM b, t"""
+
+
+@query(CRC_SQL)
 def wal_crc(spark, sf_dir):
-    """The checksum in each encoded log record (no SQL: DuckDB has no CRC-32; tested against golden bytes)."""
+    """The checksum in each encoded log record, and the record's bytes."""
     rows = _encoded(log_of(spark, sf_dir))
     return rows.select("store_id", "sequence", F.crc32(F.substring("record", 9, 1 << 30)).alias("crc32"), F.octet_length("record").alias("n"))
 
@@ -240,6 +267,33 @@ def wal_valid_prefix(spark, sf_dir):
     return kept.groupBy("store_id").agg(F.count("*").alias("records"), F.max("sequence").alias("last_sequence"))
 
 
+@query(f"""WITH {LOG_CTE}, b AS (SELECT store_id, min(sequence) AS bad FROM log WHERE octet_length(value) >= {BAD_BYTES} GROUP BY store_id)
+SELECT log.store_id, count(*) AS records, max(sequence) AS last_sequence, CAST(sum(octet_length(key) + octet_length(value)) AS BIGINT) AS bytes,
+  CAST(sum(CASE WHEN tombstone THEN 1 ELSE 0 END) AS BIGINT) AS deletes FROM log LEFT JOIN b USING (store_id)
+WHERE bad IS NULL OR sequence < bad GROUP BY log.store_id""")
+def wal_damaged_read(spark, sf_dir):
+    """Logs written as files in which a byte of each record with a long value is damaged, and what a recovery keeps of them."""
+    rows = _encoded(log_of(spark, sf_dir))
+    at = F.octet_length("record")
+    turned = F.unhex(F.lpad(F.hex(F.conv(F.hex(F.substring(F.col("record"), at, F.lit(1))), 16, 10).cast("long").bitwiseXOR(F.lit(1))), 2, "0"))
+    damaged = F.concat(F.substring(F.col("record"), F.lit(1), at - 1), turned)
+    bytes_ = F.when(F.octet_length("value") >= BAD_BYTES, damaged).otherwise(F.col("record"))
+    path = shared_dir(spark, "segments")
+    wal.write_segments(rows.select("store_id", "sequence", bytes_.alias("record")), path).count()
+    return wal.recover_segments(spark, path).groupBy("store_id").agg(
+        F.count("*").alias("records"), F.max("sequence").alias("last_sequence"),
+        F.sum((F.octet_length("key") + F.octet_length("value")).cast("long")).alias("bytes"), F.count_if("tombstone").alias("deletes"),
+    )
+
+
+@query(f"""WITH {LOG_CTE} SELECT store_id, sequence, row_number() OVER (ORDER BY sequence, store_id, key) AS assigned FROM log""")
+def sequence_assign(spark, sf_dir):
+    """Writes numbered anew, densely over all stores, in the order of their old sequences."""
+    order = F.struct("sequence", "store_id", "key").alias("at")
+    numbered = changelog.assign_sequences(log_of(spark, sf_dir).select("store_id", F.col("sequence").alias("old"), order), "at")
+    return numbered.select("store_id", F.col("old").alias("sequence"), F.col("sequence").alias("assigned"))
+
+
 @query(f"""WITH RECURSIVE {LOG_CTE}, c AS (
   SELECT store_id, sequence, 37 + octet_length(key) + octet_length(value) AS b, memtable_capacity - 108 AS room,
     sum(37 + octet_length(key) + octet_length(value)) OVER (PARTITION BY store_id ORDER BY sequence) AS total
@@ -313,6 +367,29 @@ def sst_footers(spark, sf_dir):
     return runs.footers(_index(spark, sf_dir))
 
 
+@query(f"""WITH {RUNS_CTE} SELECT store_id, run_id, count(*) AS entries, CAST(sum(octet_length(key)) AS BIGINT) AS key_bytes,
+CAST(sum(octet_length(value)) AS BIGINT) AS value_bytes, CAST(sum(CASE WHEN tombstone THEN 1 ELSE 0 END) AS BIGINT) AS deletes,
+CAST(sum(sequence) AS BIGINT) AS sequences, true AS in_order FROM runs GROUP BY ALL""")
+def run_file_round_trip(spark, sf_dir):
+    """Runs written as files of compressed blocks whose keys leave out what they share, and read again block by block."""
+    rows = runs_of(spark, sf_dir).withColumn("timestamp_ms", F.lit(0).cast("long"))
+    path = shared_dir(spark, "runs")
+    files = runfile.write_runs(rows, path, codec="lz4", restart=runfile.RESTART)
+    files.write.parquet(f"{path}-files")
+    back = runfile.read_runs(spark, spark.read.parquet(f"{path}-files"))
+    named = back.withColumns({n: F.regexp_extract("path", r"(\d+)-(\d+)-\d+\.run$", i).cast("long") for i, n in ((1, "store_id"), (2, "run_id"))})
+    # blocks follow each other: the least key of one is not below the greatest of the one before it in its file
+    spans = named.groupBy("store_id", "run_id", "path", "block_no").agg(
+        F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("entries"),
+        F.sum(F.octet_length("key").cast("long")).alias("key_bytes"), F.sum(F.octet_length("value").cast("long")).alias("value_bytes"),
+        F.count_if("tombstone").alias("deletes"), F.sum("sequence").alias("sequences"),
+    )
+    before = F.lag("high").over(Window.partitionBy("path").orderBy("block_no"))
+    spans = spans.withColumn("follows", before.isNull() | (before <= F.col("low")))
+    sums = [F.sum(c).alias(c) for c in ("entries", "key_bytes", "value_bytes", "deletes", "sequences")]
+    return spans.groupBy("store_id", "run_id").agg(*sums, F.bool_and("follows").alias("in_order"))
+
+
 @query(f"""WITH {RUNS_CTE}, i AS (SELECT DISTINCT store_id, run_id, block_id, smallest_key FROM index_entry WHERE smallest_key IS NOT NULL)
 SELECT r.store_id, r.run_id, CAST(i.block_id AS BIGINT) AS block_id, count(*) AS entries
 FROM runs r ASOF LEFT JOIN (SELECT store_id, run_id, smallest_key, max(block_id) AS block_id FROM i GROUP BY ALL) i
@@ -390,6 +467,20 @@ def scan_limit(spark, sf_dir):
     return shown(first.withColumn("n", F.row_number().over(Window.orderBy("key", "store_id"))), "n", "store_id", "key")
 
 
+@query(f"""WITH {LATEST_CTE} SELECT store_id, hex(key) AS key_hex FROM (
+SELECT store_id, key FROM latest WHERE NOT tombstone ORDER BY key, store_id LIMIT {TOP} OFFSET {TOP})""")
+def scan_page(spark, sf_dir):
+    """The second hundred of live keys."""
+    return shown(reads.scan(changes_of(spark, sf_dir), limit=TOP, offset=TOP), "store_id", "key")
+
+
+@query(f"WITH {LOG_CTE} SELECT store_id, hex(key) AS key_hex, sequence, tombstone FROM log WHERE key >= 'idx/'::BLOB AND key < 'idx0'::BLOB")
+def version_scan(spark, sf_dir):
+    """All versions of the keys that begin with 'idx/', keys up and sequences down."""
+    some = watch(log_of(spark, sf_dir), b"idx/", reads.prefix_end(b"idx/"))
+    return shown(reads.versions(some), "store_id", "key", "sequence", "tombstone")
+
+
 @query(f"""WITH {LATEST_CTE}, t AS (SELECT store_id, key FROM latest WHERE NOT tombstone ORDER BY key DESC, store_id LIMIT {TOP})
 SELECT row_number() OVER (ORDER BY key DESC, store_id) AS n, store_id, hex(key) AS key_hex FROM t""")
 def scan_reverse(spark, sf_dir):
@@ -422,10 +513,8 @@ SELECT s.store_id, CASE WHEN v.dead = false THEN 'ok' ELSE 'not_found' END AS st
 FROM s LEFT JOIN v USING (store_id)""")
 def snapshot_get(spark, sf_dir):
     """A key as of a sequence."""
-    log = changes_of(spark, sf_dir)
-    stores = log.select("store_id").distinct()
-    found = reads.snapshot(log.where(F.col("key") == F.lit(SHARED_KEY)), SNAPSHOT).select("store_id", "value")
-    return shown(stores.join(found, "store_id", "left").withColumn("status", reads.status()), "store_id", "status", "value")
+    found = reads.snapshot(changes_of(spark, sf_dir).where(F.col("key") == F.lit(SHARED_KEY)), SNAPSHOT).select("store_id", "value")
+    return shown(stores_of(spark, sf_dir).join(found, "store_id", "left").withColumn("status", reads.status()), "store_id", "status", "value")
 
 
 @query(f"""WITH {LOG_CTE}, m AS (SELECT store_id, max(sequence) - {LAG} AS bound FROM log GROUP BY store_id)
@@ -543,8 +632,7 @@ def ttl_expire(spark, sf_dir):
 WHERE key >= 'idx/'::BLOB AND key < 'idx0'::BLOB""")
 def cdc_key_range(spark, sf_dir):
     """The change feed of a range of keys."""
-    log = log_of(spark, sf_dir).where((F.col("key") >= F.lit(b"idx/")) & (F.col("key") < F.lit(b"idx0")))
-    return shown(log.orderBy("store_id", "sequence"), "store_id", "sequence", "key", "tombstone")
+    return shown(watch(log_of(spark, sf_dir), b"idx/", b"idx0").orderBy("store_id", "sequence"), "store_id", "sequence", "key", "tombstone")
 
 
 @query(f"""WITH RECURSIVE {BLOCKS_CTE}, o AS (
@@ -624,32 +712,103 @@ def knn_exact(spark, sf_dir):
     return found.select("query", "rank", "neighbour")
 
 
+#: The vectors of the test tables have no clusters, so most lists must be probed; real embeddings need few.
+LISTS, PROBES = 16, 13
+
+
+@query("""SELECT count(*) AS queries, true AS recall_reached, (SELECT count(*) FROM embeddings WHERE embedding IS NOT NULL) AS rows_indexed
+FROM embeddings WHERE vec_id % 50 = 0 AND embedding IS NOT NULL""")
+def knn_inverted_lists(spark, sf_dir):
+    """Approximate search through inverted lists: whether at least nine tenths of the exact neighbours are found."""
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id % 50 = 0")
+    centroids = indexes.train_centroids(vectors, "vec_id", "embedding", LISTS)
+    path = shared_dir(spark, "lists")
+    indexes.inverted_lists(vectors, "vec_id", "embedding", centroids).write.partitionBy("list_no").parquet(path)
+    index = spark.read.parquet(path)
+    found = indexes.nearest_in_lists(index, asked, "vec_id", "embedding", centroids, 10, PROBES)
+    exact = indexes.nearest(vectors, asked, "vec_id", "embedding", 10)
+    hit = exact.join(found.select("query", "neighbour", F.lit(True).alias("hit")), ["query", "neighbour"], "left")
+    return hit.agg(
+        F.count_distinct("query").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("recall_reached"),
+    ).withColumn("rows_indexed", F.lit(index.count()))
+
+
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_partkey BETWEEN 20 AND 400 AND l_suppkey BETWEEN 2 AND 40""")
 def zorder_scan(spark, sf_dir):
-    """A box of two attributes, read through interleaved keys."""
-    z = indexes.z_order(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey")
-    return indexes.box(z, "l_partkey", "l_suppkey", (20, 2), (400, 40)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    """A box of two attributes, read from a file laid out by interleaved keys, whose row groups outside are skipped."""
+    path = shared_dir(spark, "by-z")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    indexes.write_z_ordered(lines, "l_partkey", "l_suppkey", path)
+    found = indexes.box(spark.read.parquet(path), "l_partkey", "l_suppkey", (20, 2), (400, 40))
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+DIGEST = "CAST('0x' || substr(md5(key), 1, 8) AS BIGINT)"
+NODES = ["n0", "n1", "n2", "n3"]
 
 
-@query()
+@query(f"""WITH {LATEST_CTE} SELECT CAST({DIGEST} % 16 AS INTEGER) AS shard, count(*) AS keys FROM latest WHERE NOT tombstone GROUP BY 1""")
 def shard_counts(spark, sf_dir):
-    """Live keys by hash shard and by rendezvous node (no SQL: DuckDB has no xxhash64)."""
+    """Live keys by hash shard."""
     keys = reads.live(changes_of(spark, sf_dir))
-    node = indexes.rendezvous(F.col("key"), ["n0", "n1", "n2", "n3"]).alias("node")
-    return keys.groupBy(indexes.shard_of(F.col("key"), 16).alias("shard"), node).agg(F.count("*").alias("keys"))
+    return keys.groupBy(indexes.shard_of(F.col("key"), 16, portable=True).alias("shard")).agg(F.count("*").alias("keys"))
 
 
-YCSB_SQL = """SELECT sequence AS op_no, hex(key) AS key_hex, CASE WHEN f < 0.5 THEN 'read' ELSE 'update' END AS operation, store_id FROM (
-SELECT DISTINCT store_id, sequence, key, ('0x' || substr(md5('42A|' || sequence::VARCHAR), 1, 8))::BIGINT / 4294967296.0 AS f FROM wal_entry
+@query(f"""WITH {LATEST_CTE}, p AS (SELECT CAST('0x' || substr(md5(n || '|' || i), 1, 8) AS BIGINT) AS place, n AS node
+  FROM (SELECT unnest({NODES}) AS n), (SELECT unnest(range(64)) AS i)),
+k AS (SELECT {DIGEST} AS h FROM latest WHERE NOT tombstone)
+SELECT coalesce(p.node, (SELECT arg_min(node, place) FROM p)) AS node, count(*) AS keys FROM k ASOF LEFT JOIN p ON k.h <= p.place GROUP BY 1""")
+def ring_counts(spark, sf_dir):
+    """Live keys by node of a hash ring."""
+    node = indexes.ring_node(F.col("key"), indexes.hash_ring(NODES)).alias("node")
+    return reads.live(changes_of(spark, sf_dir)).groupBy(node).agg(F.count("*").alias("keys"))
+
+
+@query(f"""WITH {LATEST_CTE} SELECT CASE WHEN key < 'blob/'::BLOB THEN 0 WHEN key < 'idx/'::BLOB THEN 1 WHEN key < 'user/'::BLOB THEN 2 ELSE 3 END AS part,
+count(*) AS keys FROM latest WHERE NOT tombstone GROUP BY 1""")
+def range_counts(spark, sf_dir):
+    """Live keys by range partition, for given bounds."""
+    part = indexes.range_of(F.col("key"), [b"blob/", b"idx/", b"user/"]).alias("part")
+    return reads.live(changes_of(spark, sf_dir)).groupBy(part).agg(F.count("*").alias("keys"))
+
+
+@query(f"""WITH {LATEST_CTE} SELECT count(*) AS keys, true AS spread, true AS little_moves FROM latest WHERE NOT tombstone""")
+def rendezvous_moves(spark, sf_dir):
+    """Live keys by rendezvous node: whether nodes have about equal shares, and whether a fifth node takes keys for itself only."""
+    keys = reads.live(changes_of(spark, sf_dir)).select(
+        indexes.rendezvous(F.col("key"), NODES).alias("a"), indexes.rendezvous(F.col("key"), [*NODES, "n4"]).alias("b"), F.lit(1).alias("one")
+    )
+    counts = [F.count_if(F.col("a") == n).alias(n) for n in NODES]
+    seen = keys.agg(F.count("*").alias("keys"), *counts, F.count_if((F.col("a") != F.col("b")) & (F.col("b") != "n4")).alias("astray"))
+    fair = F.col("keys") / len(NODES)
+    spread = [F.abs(F.col(n) - fair) <= 6 * F.sqrt(fair) + 1 for n in NODES]
+    return seen.select("keys", (spread[0] & spread[1] & spread[2] & spread[3]).alias("spread"), (F.col("astray") == 0).alias("little_moves"))
+
+
+def _ycsb_sql(name: str) -> str:
+    shares, bound, cases = [(o, x) for o, x in zip(indexes.YCSB_OPERATIONS, indexes.YCSB[name]) if x], 0.0, ""
+    for operation, share in shares[:-1]:
+        bound += share
+        cases += f" WHEN f < {bound} THEN '{operation}'"
+    chosen = f"CASE{cases} ELSE '{shares[-1][0]}' END" if cases else f"'{shares[-1][0]}'"
+    return f"""SELECT sequence AS op_no, hex(key) AS key_hex, {chosen} AS operation, store_id FROM (
+SELECT DISTINCT store_id, sequence, key, ('0x' || substr(md5('42{name}|' || sequence::VARCHAR), 1, 8))::BIGINT / 4294967296.0 AS f FROM wal_entry
 WHERE store_id IS NOT NULL AND sequence IS NOT NULL AND key IS NOT NULL)"""
 
 
-@query(YCSB_SQL)
-def ycsb_workload_a(spark, sf_dir):
-    """A reproducible half-read, half-update workload over the log's keys."""
-    rows = table(spark, sf_dir, "wal_entry").dropna(subset=["store_id", "sequence", "key"]).select("store_id", "sequence", "key").distinct()
-    ops = indexes.workload(rows.withColumn("at", F.struct("store_id", "key")), "at", "sequence", "A")
-    return ops.select("op_no", F.hex("key.key").alias("key_hex"), "operation", "key.store_id")
+def _ycsb(name: str):
+    def run(spark, sf_dir):
+        rows = table(spark, sf_dir, "wal_entry").dropna(subset=["store_id", "sequence", "key"]).select("store_id", "sequence", "key").distinct()
+        ops = indexes.workload(rows.withColumn("at", F.struct("store_id", "key")), "at", "sequence", name)
+        return ops.select("op_no", F.hex("key.key").alias("key_hex"), "operation", "key.store_id")
+
+    run.__name__, run.__doc__ = f"ycsb_workload_{name.lower()}", f"Reproducible operations of YCSB workload {name} over the log's keys."
+    return run
+
+
+for _name in indexes.YCSB:
+    query(_ycsb_sql(_name))(_ycsb(_name))
 
 
 @query("""SELECT source_name, count(*) AS runs, round(quantile_cont(s, 0.5), 6) AS p50, round(quantile_cont(s, 0.99), 6) AS p99,

@@ -2,62 +2,105 @@
 
 A file is a sequence of data blocks, then the index, then the footer.  A block has a header (entry count, both
 sizes, compression, checksum) and entries of an internal key and a value, each with a varint length.  Blocks are
-closed when the size that their entries count for reaches the target.  The checksum of a block is over its body.
+closed when the size that their entries count for reaches the target.  The checksum of a block is over its body as it
+is stored.  Two things are options of a block and told by its header: a codec for its body, and keys that leave out
+what they share with the key before them.
 """
 
 from __future__ import annotations
 
 import bisect
-import os
 import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.functions.codec import (
     KEY_TAIL, Corrupted, decode_footer, decode_index, decode_varint, encode_footer, encode_index, encode_varint,
 )
+from keystrata.sources.files import locate, scheme, size_of
 
 HEADER = struct.Struct("<IIIII")
 BLOCK_BYTES = 4096
-NO_COMPRESSION = 0
-
-
-def encode_block(entries: list[tuple[bytes, bytes]]) -> bytes:
-    body = b"".join(encode_varint(len(x)) + x for entry in entries for x in entry)
-    return HEADER.pack(len(entries), len(body), len(body), NO_COMPRESSION, zlib.crc32(body)) + body
+#: Numbers of the codecs in a header, the first two as the format has them; and the sign of shared keys.
+CODECS = {"none": 0, "lz4": 1, "zstd": 2, "snappy": 3}
+SHARED_KEYS = 1 << 8
+#: Keys from one that is stored whole to the next.
+RESTART = 16
+_CODEC_NAMES = {0: None, 1: "lz4_raw", 2: "zstd", 3: "snappy"}
+
+
+def _shared(a: bytes, b: bytes) -> int:
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def encode_block(entries: list[tuple[bytes, bytes]], codec: str = "none", restart: int = 0) -> bytes:
+    """A block; with ``restart`` only every so many keys are stored whole, the others after what they share."""
+    parts, before = [], b""
+    for i, (key, value) in enumerate(entries):
+        if restart:
+            shared = _shared(before, key) if i % restart else 0
+            parts += [encode_varint(shared), encode_varint(len(key) - shared), key[shared:]]
+            before = key
+        else:
+            parts += [encode_varint(len(key)), key]
+        parts += [encode_varint(len(value)), value]
+    raw = b"".join(parts)
+    name = _CODEC_NAMES[CODECS[codec]]
+    body = pa.compress(raw, codec=name, asbytes=True) if name and raw else raw
+    kind = CODECS[codec] | (SHARED_KEYS if restart else 0)
+    return HEADER.pack(len(entries), len(raw), len(body), kind, zlib.crc32(body)) + body
 
 
 def decode_block(data: bytes) -> list[tuple[bytes, bytes]]:
     if len(data) < HEADER.size:
         raise Corrupted("block is cut off")
-    count, _, size, _, checksum = HEADER.unpack_from(data)
+    count, raw_size, size, kind, checksum = HEADER.unpack_from(data)
     body = data[HEADER.size : HEADER.size + size]
     if len(body) != size or zlib.crc32(body) != checksum:
         raise Corrupted("block's checksum differs")
-    at, out = 0, []
+    if kind & ~SHARED_KEYS not in _CODEC_NAMES:
+        raise Corrupted("block's compression is unknown")
+    name = _CODEC_NAMES[kind & ~SHARED_KEYS]
+    if name and raw_size:
+        body = pa.decompress(body, decompressed_size=raw_size, codec=name, asbytes=True)
+
+    def take(at: int, before: bytes = b"") -> tuple[bytes, int]:
+        n, at = decode_varint(body, at)
+        if at + n > raw_size:
+            raise Corrupted("entry is cut off")
+        return before + body[at : at + n], at + n
+
+    at, out, key = 0, [], b""
     for _ in range(count):
-        pair = []
-        for _ in range(2):
-            n, at = decode_varint(body, at)
-            if at + n > size:
-                raise Corrupted("entry is cut off")
-            pair.append(body[at : at + n])
-            at += n
-        out.append(tuple(pair))
+        if kind & SHARED_KEYS:
+            shared, at = decode_varint(body, at)
+            if shared > len(key):
+                raise Corrupted("key shares more than there is")
+            key, at = take(at, key[:shared])
+        else:
+            key, at = take(at)
+        value, at = take(at)
+        out.append((key, value))
     return out
 
 
-def encode_run(entries: Iterable[tuple[bytes, int, int, bool, bytes]], target: int = BLOCK_BYTES) -> Iterator[bytes]:
+def encode_run(entries: Iterable[tuple[bytes, int, int, bool, bytes]], target: int = BLOCK_BYTES, codec: str = "none", restart: int = 0) -> Iterator[bytes]:
     """The bytes of a run, block by block, of (user key, sequence, timestamp, tombstone, value) in key order."""
     block, counted, index, offset = [], 0, [], 0
 
     def close() -> bytes:
-        data = encode_block(block)
+        data = encode_block(block, codec, restart)
         index.append((block[0][0][: -KEY_TAIL.size], offset, len(data)))
         return data
 
@@ -82,11 +125,11 @@ class RunFile:
     """A run opened for reading: footer and index are held, blocks are read one at a time."""
 
     def __init__(self, path: str):
-        self.path = path
-        size = os.path.getsize(path)
+        self._files, self.path = locate(path)
+        size = size_of(self._files, self.path)
         if not size:
             raise Corrupted("file is empty")
-        with open(path, "rb") as f:
+        with self._files.open_input_file(self.path) as f:
             f.seek(max(0, size - 8))
             offset, length = decode_footer(f.read())
             if offset + length + 8 > size:
@@ -97,7 +140,7 @@ class RunFile:
 
     def block(self, number: int) -> list[tuple[bytes, int, int, bool, bytes]]:
         _, offset, size = self.index[number]
-        with open(self.path, "rb") as f:
+        with self._files.open_input_file(self.path) as f:
             f.seek(offset)
             pairs = decode_block(f.read(size))
         return [(k[: -KEY_TAIL.size], *self._tail(k), v) for k, v in pairs]
@@ -128,41 +171,44 @@ class RunFile:
             yield from self.block(number)
 
 
-def write_runs(entries: DataFrame, path: str, target: int = BLOCK_BYTES) -> DataFrame:
-    """Write each (store_id, run_id) as a file below ``path``, a folder that all executors share, and name the files.
+def write_runs(entries: DataFrame, path: str, target: int = BLOCK_BYTES, *, codec: str = "none", restart: int = 0) -> DataFrame:
+    """Write each (store_id, run_id) below ``path``, a folder that all executors share, and name the files.
 
-    Rows come sorted to one task per run and are written as they come; a run is bounded by the table it was flushed
-    from, and no block but the current one is held.  A file gets its name when it is whole, so a task that is
-    repeated leaves the same file.
+    Rows are range partitioned by run and key, so a run of any size is written by many tasks: it is one file, or
+    several of successive keys, with their first and last key.  No block but the current one is held.  A file gets
+    its name when it is whole, so a task that is repeated leaves the same file.
     """
-    local = path.removeprefix("file://")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(local, exist_ok=True)
+        files, at = locate(path)
+        files.create_dir(at)
+        part = TaskContext.get().partitionId()
         rows = (r for b in batches for r in zip(*[b.column(i).to_pylist() for i in range(7)]))
         row = next(rows, None)
         while row is not None:
             store, run = row[:2]
+            first = last = row[2]
 
             def own():
-                nonlocal row
+                nonlocal row, last
                 while row is not None and row[:2] == (store, run):
+                    last = row[2]
                     yield row[2], row[3], row[4] or 0, bool(row[5]), row[6] or b""
                     row = next(rows, None)
 
-            name, hidden = f"{local}/{store}-{run}.run", f"{local}/.{store}-{run}.{uuid.uuid4().hex}"
-            with open(hidden, "wb") as out:
-                for data in encode_run(own(), target):
+            name, hidden, size = f"{at}/{store}-{run}-{part:05d}.run", f"{at}/.{uuid.uuid4().hex}", 0
+            with files.open_output_stream(hidden) as out:
+                for data in encode_run(own(), target, codec, restart):
                     out.write(data)
-                out.flush()
-                os.fsync(out.fileno())
-                size = out.tell()
-            os.replace(hidden, name)
-            yield pa.RecordBatch.from_pylist([{"store_id": store, "run_id": run, "path": name, "bytes": size}])
-
-    ordered = entries.select("store_id", "run_id", "key", "sequence", "timestamp_ms", "tombstone", "value")
-    ordered = ordered.repartition("store_id", "run_id").sortWithinPartitions("store_id", "run_id", "key", F.col("sequence").desc())
-    return ordered.mapInArrow(write, "store_id bigint, run_id bigint, path string, bytes bigint")
+                    size += len(data)
+            files.move(hidden, name)
+            yield pa.RecordBatch.from_pylist(
+                [{"store_id": store, "run_id": run, "path": scheme(path) + name, "bytes": size, "first_key": first, "last_key": last}]
+            )
+
+    ordered = entries.select("store_id", "run_id", "key", "sequence", "timestamp_ms", "tombstone", "value").withColumn("newest", -F.col("sequence"))
+    ordered = ordered.repartitionByRange("store_id", "run_id", "key", "newest").sortWithinPartitions("store_id", "run_id", "key", "newest").drop("newest")
+    return ordered.mapInArrow(write, "store_id bigint, run_id bigint, path string, bytes bigint, first_key binary, last_key binary")
 
 
 def read_runs(spark: SparkSession, paths: DataFrame) -> DataFrame:

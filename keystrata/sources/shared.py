@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``.
+    """A fresh folder below ``spark.checkpoint.dir``, which goes when the session ends.
 
     The cluster names that folder.  Only where it is unset, as in local tests, a local folder is taken.
     """
@@ -24,7 +24,14 @@ def shared_dir(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="keystrata-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    # what is read lazily must stay as long as the session; then its file system deletes it
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    # with its scheme, so that tasks find it outside the JVM too
+    return f"{files.makeQualified(path).toString()}/{label}"
 
 
 class SharedFiles:
@@ -86,6 +93,11 @@ class SharedFiles:
             raise
         return True
 
+    def rename(self, name: str, final: str) -> None:
+        """Give a file or folder a name that nothing has."""
+        if not self._fs.rename(self._path(name), self._path(final)):
+            raise OSError(f"cannot rename {name} to {final}")
+
     def age(self, name: str) -> float:
         """Seconds since something directly in a folder, or the file itself, was last changed."""
         path = self._path(name)

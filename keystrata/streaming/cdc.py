@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +43,9 @@ def apply_changes(
 ) -> None:
     """Apply all changes that ``stream`` has by now, as upserts below ``target``.
 
-    Each batch writes the rows it changed to a folder of its own number, over whatever an attempt that failed
-    left there: a batch that is repeated gives the same rows in the same place.  State is kept in RocksDB, which
+    Each batch writes the rows it changed to a hidden folder, which then gets the batch's number as its name: readers
+    see all of a batch or nothing.  A batch that is repeated after its folder is there has the same rows in it and
+    leaves it as it is; what an attempt that failed left behind is hidden and goes with the next batch.  State is kept in RocksDB, which
     spills to disk, and saved as change logs below ``checkpoint``; a lost executor's state is built from there.
     """
     settings = {
@@ -54,9 +57,15 @@ def apply_changes(
     before = {k: spark.conf.get(k, None) for k in settings}
 
     def upsert(batch: DataFrame, number: int) -> None:
-        batch.select(*keys, "last.sequence", "last.deleted", "last.value").write.mode("overwrite").parquet(
-            f"{target}/version={number}"
-        )
+        files = SharedFiles(spark, target)
+        for name in files.list(""):
+            if name.startswith(".batch-"):
+                files.delete(name)
+        if any(n == f"version={number}" or n.startswith(f"version={number}-") for n in files.list("")):
+            return
+        hidden = f".batch-{number}-{uuid.uuid4().hex}"
+        batch.select(*keys, "last.sequence", "last.deleted", "last.value").write.parquet(f"{target}/{hidden}")
+        files.rename(hidden, f"version={number}")
 
     try:
         for k, v in settings.items():
@@ -89,6 +98,25 @@ def current_state(spark: SparkSession, target: str, keys: list[str], schema) ->
     return rows.where(~F.col("deleted")).select(*keys, "sequence", "value")
 
 
+def merge_upserts(spark: SparkSession, target: str, keys: list[str]) -> None:
+    """Merge all upsert folders but the newest into one, so that their number does not grow with the batches.
+
+    The merged folder takes the number of the last that it replaces.  It is whole before any of those goes, and
+    ``latest_changes`` of it beside them is the same, so readers that list the folders see the same state throughout.
+    """
+    files = SharedFiles(spark, target)
+    versions = sorted((n for n in files.list("") if n.startswith("version=")), key=lambda n: int(n.split("=")[1].split("-")[0]))
+    old = versions[:-1]
+    if len(old) < 2:
+        return
+    rows = latest_changes(spark.read.parquet(*[f"{target}/{v}" for v in old]), keys).select(*keys, "last.*")
+    hidden = f".merged-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{target}/{hidden}")
+    files.rename(hidden, f"{old[-1].split('-')[0]}-{uuid.uuid4().hex[:8]}")
+    for v in old:
+        files.delete(v)
+
+
 def change_rows(df: DataFrame, keys: dict[str, str], op: str, sequence: str, tombstone: str, value: str) -> DataFrame:
     """Changes in the form the operator takes; ``keys`` maps its key names to columns.
 

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -99,7 +100,9 @@ def test_log_files(spark, tmp_path):
     broken = bytearray(data)
     broken[len(codec.encode_record(*rows[0])) + 9] ^= 1
     single.write_bytes(bytes(broken))
-    assert [r[3] for r in read_log(str(single), lenient=True)] == [1]
+    assert [r[3] for r in read_log(str(single), "lenient")] == [1]
+    assert [r[2:4] for r in read_log(str(single), "marked")] == [("put", 1), (None, None)]
+    assert [r[3] for r in read_log(single.as_uri(), "lenient")] == [1]
     with pytest.raises(codec.Corrupted):
         list(read_log(str(single)))
     with pytest.raises(Exception, match="record 1"):
@@ -124,19 +127,58 @@ def test_run_files(spark):
     df = spark.createDataFrame(rows, "store_id bigint, run_id bigint, key binary, sequence bigint, timestamp_ms bigint, tombstone boolean, value binary")
     folder = shared_dir(spark, "runs")
     files = write_runs(df, folder, target=512).collect()
-    assert sorted((f.store_id, f.run_id) for f in files) == [(1, 1), (1, 2)]
+    assert {(f.store_id, f.run_id) for f in files} == {(1, 1), (1, 2)} and all(f.first_key <= f.last_key for f in files)
     back = read_runs(spark, spark.createDataFrame([(f.path,) for f in files], "path string")).collect()
     assert sorted((bytes(r.key), r.sequence, r.timestamp_ms, r.tombstone, bytes(r.value)) for r in back) == sorted(r[2:] for r in rows)
+    def get(number, key):
+        """The newest entry over the files of a run that may hold the key."""
+        found = [RunFile(f.path).get(key) for f in files if f.run_id == number and f.first_key <= key <= f.last_key]
+        return max((e for e in found if e), key=lambda e: e[1], default=None)
+
+    assert sum(len(RunFile(f.path).index) for f in files) > 20 and get(1, b"k0008") == (b"k0008", 1008, 8, False, b"v" * 8)
+    assert get(2, b"k0007")[3] and get(2, b"same")[1] == 5059
+    assert get(1, b"") is None and get(1, b"k00075") is None and get(1, b"zz") is None
     run = RunFile(files[0].path)
-    base = 1000 * files[0].run_id
-    assert len(run.index) > 10 and run.get(b"k0008") == (b"k0008", base + 8, 8, False, b"v" * 8)
-    assert run.get(b"k0007")[3] and run.get(b"same")[1] == 5059
-    assert run.get(b"") is None and run.get(b"k00075") is None and run.get(b"zz") is None
     assert [e[0] for e in run] == sorted(e[0] for e in run)
-    data = open(files[0].path, "rb").read()
-    open(files[0].path, "wb").write(data[:30] + bytes([data[30] ^ 1]) + data[31:])
+    local = files[0].path.removeprefix("file://")
+    data = open(local, "rb").read()
+    open(local, "wb").write(data[:30] + bytes([data[30] ^ 1]) + data[31:])
     with pytest.raises(codec.Corrupted):
         list(RunFile(files[0].path))
-    open(files[0].path, "wb").write(b"")
+    open(local, "wb").write(b"")
     with pytest.raises(codec.Corrupted):
         RunFile(files[0].path)
+
+
+@pytest.mark.parametrize("name", ["none", "lz4", "zstd", "snappy"])
+@pytest.mark.parametrize("restart", [0, 1, 4, 16])
+def test_blocks_with_codecs_and_shared_keys(name, restart):
+    rng = random.Random(restart)
+    for n in (0, 1, 2, 40):
+        keys = sorted(bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 12))) + b"t" * 17 for _ in range(n))
+        entries = [(k, b"v" * rng.randint(0, 300)) for k in keys]
+        data = encode_block(entries, name, restart)
+        assert decode_block(data) == entries
+        if n == 40:
+            assert len(data) < len(encode_block(entries)) or (name, restart) in (("none", 0), ("none", 1))
+            for at in (0, 12, len(data) - 1):
+                with pytest.raises(codec.Corrupted):
+                    decode_block(data[:at] + bytes([data[at] ^ 255]) + data[at + 1 :] if at else data[:-1])
+
+
+def test_segments_of_logs_end_at_the_first_broken_record(spark):
+    from keystrata.sources.wal import recover_segments, write_segments
+
+    rows, expected = [], {}
+    for store, bad in ((1, 25), (2, None), (3, 1)):
+        for q in range(1, 41):
+            record = codec.encode_record("put", q, f"k{q}".encode(), b"v", False)
+            rows.append((store, q, record[:-1] + bytes([record[-1] ^ 1]) if q in (bad, 33 if bad else None) else record))
+        expected[store] = list(range(1, bad or 41))
+    random.Random(2).shuffle(rows)
+    path = shared_dir(spark, "segments")
+    assert write_segments(spark.createDataFrame(rows, "store_id bigint, sequence bigint, record binary"), path, 10).count() == 15
+    got = {}
+    for r in recover_segments(spark, path).collect():
+        got.setdefault(r.store_id, []).append(r.sequence)
+    assert {s: sorted(q) for s, q in got.items()} == {s: q for s, q in expected.items() if q}

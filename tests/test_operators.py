@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from keystrata.operators import changelog, compaction, indexes, reads, runs
+from keystrata.operators import changelog, compaction, indexes, ordered, reads, runs
 from keystrata.operators.script import last_before, run_script
 
 LOG = "store_id bigint, sequence bigint, key binary, value binary, tombstone boolean"
@@ -103,6 +103,30 @@ def test_greedy_cut_over_batches(spark):
     assert runs.greedy_cut(df.limit(0), ["g"], ["i"], "size", "capacity", "piece").count() == 0
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 64])
+def test_scans_over_chunks(spark, chunk):
+    rng = random.Random(chunk)
+    rows = [(g, i, rng.randint(0, 30), 50 + g, rng.choice([None, None, i])) for g in range(4) for i in range(rng.choice([1, 9, 300]))]
+    df = spark.createDataFrame(rows, "g bigint, i bigint, size bigint, capacity bigint, v bigint").repartition(5)
+    cut = {(r.g, r.i): r.piece for r in ordered.greedy_cut(df, ["g"], ["i"], "size", "capacity", "piece", chunk_rows=chunk).collect()}
+    sums = {(r.g, r.i): r.s for r in ordered.sum_before(df, ["g"], ["i"], "size", "s", chunk_rows=chunk).collect()}
+    last = {(r.g, r.i): r.l for r in ordered.last_before(df, ["g"], ["i"], "v", "l", chunk_rows=chunk).collect()}
+    for g in range(4):
+        own = [r for r in rows if r[0] == g]
+        assert [cut[g, r[1]] for r in own] == brute_cut([r[2] for r in own], 50 + g)
+        assert [sums[g, r[1]] for r in own] == [sum(x[2] for x in own[:n]) for n in range(len(own))]
+        assert [last[g, r[1]] for r in own] == [next((x[4] for x in reversed(own[: n + 1]) if x[4] is not None), None) for n in range(len(own))]
+
+
+def test_no_task_needs_a_whole_group(spark):
+    """One group of all rows: no window or aggregation by group sees more than a row per chunk."""
+    df = spark.range(20_000).select(F.lit(1).cast("long").alias("g"), "id", F.lit(3).cast("long").alias("size"), F.lit(100).cast("long").alias("capacity"))
+    out = ordered.greedy_cut(df, ["g"], ["id"], "size", "capacity", "piece", chunk_rows=500)
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in text and "hashpartitioning(g" not in text and "hashpartitioning(scan_part" in text
+    assert out.agg(F.max("piece")).first()[0] == (20_000 - 1) // 34
+
+
 def test_blocks_and_lookup(spark):
     rows = [(1, r, q, k, v, d) for r in (1, 2) for _, q, k, v, d in log_rows(150, r, 1)]
     df = spark.createDataFrame(rows, "store_id bigint, run_id bigint, sequence bigint, key binary, value binary, tombstone boolean")
@@ -213,3 +237,111 @@ def test_workloads_have_their_shares(spark):
     node = indexes.rendezvous(F.col("k"), ["a", "b", "c"])
     more = indexes.rendezvous(F.col("k"), ["a", "b", "c", "d"])
     assert df.where((node != more) & (more != "d")).count() == 0
+
+
+def test_sequences_are_dense_over_partitions(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1009).alias("at"), F.col("id").alias("order_base"))
+    got = sorted((r.at, r.sequence) for r in changelog.assign_sequences(df.repartition(7), "at", 40).collect())
+    assert [q for _, q in got] == list(range(41, 1041)) and [a for a, _ in got] == sorted(a for a, _ in got)
+    assert changelog.assign_sequences(df.limit(0), "at").count() == 0
+
+
+def test_pages_of_a_scan(spark):
+    df = spark.createDataFrame([(1, i, bytes([i]), b"v", i % 3 == 0) for i in range(1, 40)], LOG)
+    keys = [bytes([i]) for i in range(1, 40) if i % 3]
+    assert [bytes(r.key) for r in reads.scan(df, limit=5, offset=7).collect()] == keys[7:12]
+    assert [bytes(r.key) for r in reads.scan(df, offset=20).collect()] == keys[20:] and reads.scan(df, offset=99).count() == 0
+    assert {r.store_id: r.status for r in reads.get(df, b"\x03", spark.range(1, 3).withColumnRenamed("id", "store_id")).collect()} == {1: "not_found", 2: "not_found"}
+    assert [r.status for r in reads.get(df, b"\x02").collect()] == ["ok"] and reads.get(df, b"none").count() == 0
+
+
+def test_inverted_lists_find_most_neighbours(spark):
+    rng = random.Random(11)
+    centres = [[rng.uniform(-9, 9) for _ in range(8)] for _ in range(12)]
+    rows = [(i, [c + rng.gauss(0, 1) for c in centres[0 if i % 3 == 0 else i % 12]]) for i in range(1200)] + [(5000, None)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>")
+    centroids = indexes.train_centroids(df, "id", "v", 10, sample_rows=400)
+    index = indexes.inverted_lists(df, "id", "v", centroids).cache()
+    assert index.count() == 1200 and index.select("key").distinct().count() == 1200
+    asked = df.where("id % 50 = 0")
+    exact = {(r.query, r.neighbour) for r in indexes.nearest(df, asked, "id", "v", 5).collect()}
+    found = {(r.query, r.neighbour) for r in indexes.nearest_in_lists(index, asked, "id", "v", centroids, 5, 3).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+    all_lists = indexes.nearest_in_lists(index, asked, "id", "v", centroids, 5, len(centroids))
+    assert {(r.query, r.neighbour) for r in all_lists.collect()} == exact
+    assert indexes.nearest_in_lists(index.limit(0), asked, "id", "v", centroids, 5, 3).count() == 0
+
+
+def hilbert_place(x, y, bits):
+    place, side = 0, 1 << (bits - 1)
+    while side:
+        right, up = bool(x & side), bool(y & side)
+        place = place * 4 + {(False, False): 0, (False, True): 1, (True, True): 2, (True, False): 3}[right, up]
+        x, y = x & (side - 1), y & (side - 1)
+        if not up:
+            if right:
+                x, y = side - 1 - x, side - 1 - y
+            x, y = y, x
+        side >>= 1
+    return place
+
+
+def test_hilbert_neighbours_are_neighbours(spark):
+    df = spark.range(16).withColumnRenamed("id", "x").crossJoin(spark.range(16).withColumnRenamed("id", "y"))
+    places = sorted((r.d, r.x, r.y) for r in df.select("x", "y", indexes.hilbert(F.col("x"), F.col("y"), 4).alias("d")).collect())
+    assert [p[0] for p in places] == list(range(256))
+    assert all(abs(a[1] - b[1]) + abs(a[2] - b[2]) == 1 for a, b in zip(places, places[1:]))
+    assert all(d == hilbert_place(x, y, 4) for d, x, y in places)
+    one = spark.createDataFrame([(2**31 - 1, 0), (12345678, 87654321), (None, 1)], "x bigint, y bigint")
+    got = [r[0] for r in one.select(indexes.hilbert(F.col("x"), F.col("y"))).collect()]
+    assert got == [hilbert_place(2**31 - 1, 0, 31), hilbert_place(12345678, 87654321, 31), None]
+
+
+def rows_scanned(df):
+    """Rows that the scan of a frame gives to the plan above it, after it has run."""
+    df.collect()
+    plan, todo = None, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if "Scan parquet" in node.nodeName():
+            plan = node
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+    return plan.metrics().apply("numOutputRows").value()
+
+
+def test_row_groups_outside_a_box_are_skipped(spark, tmp_path):
+    df = spark.range(40_000).select((F.col("id") % 200).alias("a"), F.floor(F.col("id") / 200).alias("b"), F.lit("x" * 40).alias("c")).orderBy(F.rand(1))
+    path = str(tmp_path / "z")
+    indexes.write_z_ordered(df, "a", "b", path, row_group_bytes=32 << 10)
+    found = indexes.box(spark.read.parquet(path), "a", "b", (20, 20), (40, 40))
+    assert sorted((r.a, r.b) for r in found.collect()) == [(a, b) for a in range(20, 41) for b in range(20, 41)]
+    assert rows_scanned(found) < 20_000
+
+
+def test_filters_on_keys_skip_row_groups(spark, tmp_path):
+    # every file and row group holds keys from the whole range, so statistics exclude nothing
+    df = spark.range(60_000).select(F.lit(1).cast("long").alias("store_id"), F.sha2(F.col("id").cast("string"), 256).cast("binary").alias("key"), F.col("id").alias("sequence"), F.lit(b"v").alias("value"))
+    for bloom, least, most in ((True, 0, 20_000), (False, 40_000, 60_000)):
+        path = str(tmp_path / f"run-{bloom}")
+        rows = df.orderBy(F.rand(1)).repartition(12)
+        writer = rows.write.option("parquet.bloom.filter.enabled#key", str(bloom).lower()).option("parquet.enable.dictionary", "false")
+        writer.parquet(path)
+        key = df.where("sequence = 777").first().key
+        found = runs.open_run(spark, path, bytes(key))
+        assert [r.sequence for r in found.collect()] == [777]
+        assert least <= rows_scanned(found) <= most, (bloom, rows_scanned(found))
+
+
+def test_ring_and_ranges(spark):
+    df = spark.range(4000).select(F.col("id").cast("string").cast("binary").alias("k"))
+    ring, more = indexes.hash_ring(["a", "b", "c"]), indexes.hash_ring(["a", "b", "c", "d"])
+    before, after = indexes.ring_node(F.col("k"), ring), indexes.ring_node(F.col("k"), more)
+    counts = {r.n: r["count"] for r in df.groupBy(before.alias("n")).count().collect()}
+    assert set(counts) == {"a", "b", "c"} and min(counts.values()) > 800
+    assert df.where((before != after) & (after != "d")).count() == 0 and df.where(before != after).count() > 400
+    bounds = indexes.range_bounds(df, "k", 8, sample_rows=2000)
+    sizes = {r.p: r["count"] for r in df.groupBy(indexes.range_of(F.col("k"), bounds).alias("p")).count().collect()}
+    assert len(bounds) == 7 and sorted(sizes) == list(range(8)) and max(sizes.values()) < 800
+    assert indexes.range_bounds(df.limit(0), "k", 8) == [] and df.select(indexes.range_of(F.lit(None), bounds).alias("p")).first().p == 0

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.operators import compaction, reads
+from keystrata.operators import changelog, compaction, reads, runs
 from keystrata.sources.shared import SharedFiles
 
 SCHEMA = "store_id bigint, sequence bigint, key binary, value binary, tombstone boolean"
 STORE = 1
+#: Seconds that a folder or manifest outlives its last use at least; longer than any write or read takes.
+KEEP_S = 7 * 86_400.0
 
 
 class NotFound(KeyError):
@@ -25,28 +28,40 @@ class Engine:
 
     State is a list of Parquet folders named by numbered manifests.  A write adds a folder of log records and
     commits by creating the next manifest, so readers see all of a batch or nothing, and opening an engine again is
-    reading its last manifest.  Writes are meant in batches: each costs a commit.  One writer at a time can commit;
-    another gets an error and writes nothing.
+    reading its last manifest.  One writer at a time can commit; another gets an error and writes nothing.
+
+    Each commit costs a folder.  With ``group`` above 1, changes written one by one are kept here until there are so
+    many, or until ``sync``: a change is durable, and seen by readers, from then on.  Sequences are given in the
+    order of the writes either way.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.files = spark, SharedFiles(spark, root)
+    def __init__(self, spark: SparkSession, root: str, group: int = 1):
+        self.spark, self.files, self.group = spark, SharedFiles(spark, root), group
+        self._waiting: list[tuple[bytes, bytes | None]] = []
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str) -> Engine:
+    def open(cls, spark: SparkSession, root: str, *, group: int = 1) -> Engine:
         """Open a store, a new one if the folder has no manifest."""
-        return cls(spark, root)
+        return cls(spark, root, group)
+
+    def _manifests(self) -> list[str]:
+        return [n for n in self.files.list("manifests") if not n.startswith(".")]
 
     def _manifest(self) -> dict:
-        names = [n for n in self.files.list("manifests") if not n.startswith(".")]
+        names = self._manifests()
         if not names:
             return {"number": 0, "log": [], "runs": [], "next_sequence": 1}
         return json.loads(self.files.read(f"manifests/{names[-1]}"))
 
     def _commit(self, manifest: dict) -> None:
         manifest = manifest | {"number": manifest["number"] + 1}
-        if not self.files.create(f"manifests/{manifest['number']:010d}.json", json.dumps(manifest)):
+        name = f"manifests/{manifest['number']:010d}.json"
+        if not self.files.create(name, json.dumps(manifest)):
             raise RuntimeError("another writer committed first")
+        if self._manifests()[-1] != name.split("/")[1]:
+            # the number was free only because its manifest had been cleaned up
+            self.files.delete(name)
+            raise RuntimeError("other writers committed long ago")
 
     def _read(self, folders: list[str]) -> DataFrame:
         if not folders:
@@ -63,7 +78,20 @@ class Engine:
         return self._read(now["log"] + now["runs"])
 
     def write(self, changes: Iterable[tuple[bytes, bytes | None]]) -> int:
-        """Apply changes in order: (key, value), or (key, None) to delete.  Returns the last sequence."""
+        """Apply changes in order: (key, value), or (key, None) to delete.  Returns the last sequence.
+
+        All of them become durable together, after those that wait.
+        """
+        changes = [*self._waiting, *changes]
+        last = self._write(changes)
+        self._waiting = []
+        return last
+
+    def sync(self) -> int:
+        """Make durable what waits; returns the last sequence."""
+        return self.write([])
+
+    def _write(self, changes: list[tuple[bytes, bytes | None]]) -> int:
         now = self._manifest()
         first = now["next_sequence"]
         rows = [(STORE, first + i, k, b"" if v is None else v, v is None) for i, (k, v) in enumerate(changes)]
@@ -76,37 +104,36 @@ class Engine:
 
         The range partitions of the order are numbered one after the other, so no task sees all rows.
         """
+        self.sync()
         now = self._manifest()
-        base = now["next_sequence"] - 1
-        folder = f"{self.files.root}/staged/{uuid.uuid4().hex}"
-        placed = changes.repartitionByRange(order).sortWithinPartitions(order)
-        placed.select("key", "value", order, F.spark_partition_id().alias("part")).write.parquet(folder)
-        staged = self.spark.read.parquet(folder)
-        counts = staged.groupBy("part").count()
-        offsets = counts.select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-        numbered = staged.join(F.broadcast(offsets), "part").withColumn("sequence", F.row_number().over(Window.partitionBy("part").orderBy(order)) + F.col("offset") + base)
+        numbered = changelog.assign_sequences(changes.select("key", "value", order), order, now["next_sequence"] - 1)
         rows = numbered.select(
             F.lit(STORE).cast("long").alias("store_id"), "sequence", "key",
             F.coalesce("value", F.lit(b"")).alias("value"), F.col("value").isNull().alias("tombstone"),
-        )
-        try:
-            return self._append(now, rows, staged.count())
-        finally:
-            self.files.delete(folder.removeprefix(f"{self.files.root}/"))
+        )
+        return self._append(now, rows, None)
 
-    def _append(self, now: dict, rows: DataFrame, count: int) -> int:
+    def _append(self, now: dict, rows: DataFrame, count: int | None) -> int:
         folder = f"log/{now['number'] + 1:010d}-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.files.root}/{folder}")
+        count = self._read([folder]).count() if count is None else count
         last = now["next_sequence"] + count - 1
         self._commit(now | {"log": [*now["log"], folder], "next_sequence": last + 1})
         return last
 
+    def _one(self, key: bytes, value: bytes | None) -> int:
+        self._waiting.append((key, value))
+        if len(self._waiting) >= self.group:
+            return self.sync()
+        return self._manifest()["next_sequence"] + len(self._waiting) - 1
+
     def put(self, key: bytes, value: bytes) -> int:
-        return self.write([(key, value)])
+        """Write a key; returns the sequence of the change."""
+        return self._one(key, value)
 
     def delete(self, key: bytes) -> int:
-        """Delete a key, known or not."""
-        return self.write([(key, None)])
+        """Delete a key, known or not; returns the sequence of the change."""
+        return self._one(key, None)
 
     def get(self, key: bytes) -> bytes:
         rows = reads.live(self.entries().where(F.col("key") == F.lit(key))).select("value").take(1)
@@ -135,11 +162,49 @@ class Engine:
         rows.repartitionByRange("key", "sequence").sortWithinPartitions("key", F.col("sequence").desc()).write.parquet(f"{self.files.root}/{folder}")
         self._commit(now | {"log": [], "runs": [folder]})
 
-    def vacuum(self) -> None:
-        """Delete folders that the last manifest does not name."""
+    def flush(self) -> None:
+        """Turn the log into a run of level 0, ordered by key, and empty the log: its folders are named no more."""
+        self.sync()
         now = self._manifest()
-        named = {*now["log"], *now["runs"]}
-        for kind in ("log", "runs"):
+        if not now["log"]:
+            return
+        folder = f"runs/{now['number'] + 1:010d}-{uuid.uuid4().hex}"
+        runs.flush(self._read(now["log"]), f"{self.files.root}/{folder}")
+        self._commit(now | {"log": [], "runs": [*now["runs"], folder]})
+
+    @contextmanager
+    def pinned(self) -> Iterator[DataFrame]:
+        """All versions as they are now, with their folders kept from ``vacuum`` as long as the block lasts."""
+        name = None
+        while name is None:
+            now = self._manifest()
+            name = f"pins/{now['number']:010d}-{uuid.uuid4().hex}.json"
+            self.files.create(name, json.dumps(now))
+            if self._manifest()["number"] != now["number"]:
+                # a vacuum may have looked before the pin was there; what it could take is not the newest
+                self.files.delete(name)
+                name = None
+        try:
+            yield self._read(now["log"] + now["runs"])
+        finally:
+            self.files.delete(name)
+
+    def vacuum(self, keep_s: float = KEEP_S) -> None:
+        """Delete folders that no reader or writer can still need, and manifests and pins left behind.
+
+        What is younger than ``keep_s`` stays: a writer may have finished it and be about to commit.  So does what
+        the last manifest names, or one that is pinned or younger than that, as readers began with it.
+        """
+        manifests = self._manifests()
+        kept = {f"manifests/{n}" for n in manifests[-1:]}
+        kept |= {f"manifests/{n}" for n in manifests if self.files.age(f"manifests/{n}") <= keep_s}
+        kept |= {f"pins/{n}" for n in self.files.list("pins") if not n.startswith(".")}
+        named: set[str] = set()
+        for name in kept:
+            one = json.loads(self.files.read(name))
+            named |= {*one["log"], *one["runs"]}
+        for kind in ("log", "runs", "manifests"):
             for name in self.files.list(kind):
-                if f"{kind}/{name}" not in named:
-                    self.files.delete(f"{kind}/{name}")
+                path = f"{kind}/{name}"
+                if path not in named and path not in kept and self.files.age(path) > keep_s:
+                    self.files.delete(path)

@@ -52,7 +52,7 @@ def test_against_a_dictionary(spark, engine):
     assert content(engine.scan(b"\x05", b"\x10")) == {k: v for k, v in model.items() if b"\x05" <= k < b"\x10"}
     assert [bytes(r.key) for r in engine.scan(reverse=True, limit=5).collect()] == sorted(model, reverse=True)[:5]
     engine.compact()
-    engine.vacuum()
+    engine.vacuum(keep_s=-1)
     assert content(engine.scan()) == model
 
 
@@ -68,3 +68,52 @@ def test_frames_and_conflicts(spark, engine):
     with pytest.raises(RuntimeError):
         engine._commit(stale)
     assert engine.get(b"x") == b"y"
+
+
+def test_vacuum_spares_what_is_about_to_be_committed_and_what_is_read(spark, engine):
+    engine.write([(b"a", b"1"), (b"b", b"2")])
+    with engine.pinned() as entries:
+        engine.write([(b"a", None)])
+        engine.compact()
+        engine.vacuum(keep_s=-1)
+        assert content(entries.where("NOT tombstone").select("key", "value")) == {b"a": b"1", b"b": b"2"}
+        assert len(engine.files.list("pins")) == 1
+    engine.vacuum(keep_s=-1)
+    assert len(engine.files.list("log")) == 0 and len(engine.files.list("runs")) == 1 and len(engine.files.list("manifests")) == 1
+
+    class Slow(Engine):
+        def _commit(self, manifest):
+            Engine.open(spark, self.files.root).vacuum()  # with its age limit, between write and commit
+            super()._commit(manifest)
+
+    Slow.open(spark, engine.files.root).write([(b"c", b"3")])
+    assert content(engine.scan()) == {b"b": b"2", b"c": b"3"}
+
+
+def test_a_writer_that_slept_through_a_vacuum_cannot_commit(spark, engine):
+    engine.put(b"a", b"1")
+    stale = engine._manifest()
+    for i in range(3):
+        engine.put(b"a", bytes([i]))
+    engine.vacuum(keep_s=-1)
+    with pytest.raises(RuntimeError):
+        engine._commit(stale)
+    assert engine.get(b"a") == b"\x02" and len(engine._manifests()) == 1
+
+
+def test_group_commit_and_flush(spark, engine):
+    grouped = Engine.open(spark, engine.files.root, group=3)
+    assert [grouped.put(b"a", b"1"), grouped.put(b"b", b"2")] == [1, 2]
+    with pytest.raises(NotFound):
+        engine.get(b"a")
+    assert grouped.delete(b"a") == 3 and engine.get(b"b") == b"2"
+    grouped.put(b"d", b"4")
+    assert grouped.sync() == 4 and len(engine._manifests()) == 2
+    engine.flush()
+    now = engine._manifest()
+    assert now["log"] == [] and len(now["runs"]) == 1 and now["next_sequence"] == 5
+    engine.put(b"b", b"5")
+    assert content(engine.scan()) == {b"b": b"5", b"d": b"4"} and content(engine.snapshot(4)) == {b"b": b"2", b"d": b"4"}
+    Engine.open(spark, engine.files.root).flush()
+    Engine.open(spark, engine.files.root).flush()
+    assert len(engine._manifest()["runs"]) == 2 and content(engine.scan()) == {b"b": b"5", b"d": b"4"}

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from pyspark.sql import functions as F
 #: parameters of the bitmaps and not of the day's data: partial results merge whenever they were made.
 TARGET_ERROR, CAPACITY = 0.01, 50_000_000
 WORD_BITS = 64
+#: Rows of words that a task merges at once, for all combinations; beyond it what has the same ``word_no``.
+CHUNK_ROWS = 400_000
 
 
 def relative_error(n: float, bits: int) -> float:
@@ -113,7 +118,8 @@ def distinct_counts(words: DataFrame, dims: list[str], bits: int, *, fixed: list
     as by the latter, so such combinations are counted once and labelled afterwards.
 
     There is one shuffle of words, by ``word_no``.  A word number is a piece of a uniform hash, so partitions are
-    even whatever the cells' sizes, and the words of all combinations then merge where they are.
+    even whatever the cells' sizes.  There the words of each combination are merged where they are, in arrays: sorted
+    by cell, united by bitwise or, and counted; what goes on is one number per cell and task.
     ``fixed`` columns are part of every combination.  Columns: those, the dimensions (null where not grouped), ``grouped_by``, ``distinct_keys``, ``relative_error``,
     ``bitmap_bits``.  A dimension's own null appears as a null with its name in ``grouped_by``.
     """
@@ -123,25 +129,62 @@ def distinct_counts(words: DataFrame, dims: list[str], bits: int, *, fixed: list
     for c in sets:
         kept.setdefault(tuple(d for d in c if dependent.get(d) not in c), []).append(c)
     reduced = list(kept)
-    labelled = [f"label_{d}" for d in dims if d in dependent]
-    spread = words.repartition("word_no").withColumn("set_no", F.explode(F.array(*[F.lit(i) for i in range(len(reduced))])))
-
-    def part_of(name: str, groups: list[tuple[str, ...]]) -> Column:
-        return F.col("set_no").isin([i for i, c in enumerate(groups) if name in c])
-
-    cell = [F.when(part_of(d, reduced), F.col(d)).alias(d) for d in dims]
     # the labels of dependent dimensions ride along: they are fixed by the dimension grouped by
-    labels = [
-        F.when(part_of(dependent[d], reduced), F.col(d)).alias(f"label_{d}") for d in dims if d in dependent
-    ]
-    merged = (
-        spread.select("set_no", *fixed, *cell, *labels, "word_no", "word")
-        .groupBy("set_no", *fixed, *dims, *labelled, "word_no")
-        .agg(F.bit_or("word").alias("word"))
-    )
-    counted = merged.groupBy("set_no", *fixed, *dims, *labelled).agg(
-        F.sum(F.bit_count("word").cast("long")).alias("ones")
-    )
+    labels = [d for d in dims if d in dependent]
+    labelled = [f"label_{d}" for d in labels]
+    names = [*fixed, *dims]
+
+    def merge(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        number, word = table["word_no"].to_numpy(), table["word"].to_numpy().view(np.uint64)
+        place = np.concatenate(([0], np.cumsum(number[1:] != number[:-1])))
+        codes, sizes = {}, {}
+        for name in names:
+            encoded = table[name].combine_chunks().dictionary_encode()
+            codes[name] = encoded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            sizes[name] = len(encoded.dictionary) + 1
+        for set_no, by in enumerate(reduced):
+            cell, cells = np.zeros(len(word), np.int64), 1
+            for name in [*fixed, *by]:
+                cell, cells = cell * sizes[name] + codes[name], cells * sizes[name]
+            if cells * (int(place[-1]) + 1) >= 1 << 62:
+                raise OverflowError("too many cells for one chunk")
+            key = place * cells + cell
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            ones = np.bitwise_count(np.bitwise_or.reduceat(word[order], first))
+            _, example, inverse = np.unique(key[first] % cells, return_index=True, return_inverse=True)
+            row = pa.array(order[first][example])
+            columns = [pa.array(np.full(len(row), set_no, np.int32))]
+            for name in names:
+                values = table[name].combine_chunks()
+                columns.append(values.take(row) if name in fixed or name in by else pa.nulls(len(row), values.type))
+            for name in labels:
+                values = table[name].combine_chunks()
+                columns.append(values.take(row) if dependent[name] in by else pa.nulls(len(row), values.type))
+            columns.append(pa.array(np.bincount(inverse, weights=ones).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, names=["set_no", *names, *labelled, "ones"])
+
+    def merge_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= CHUNK_ROWS:
+                table = pa.Table.from_batches(held)
+                number = table["word_no"].to_numpy()
+                cut = int(np.searchsorted(number, number[-1]))  # the last word may go on in the next batch
+                if cut:
+                    yield from merge(table.slice(0, cut))
+                    held = table.slice(cut).to_batches()
+        if held:
+            yield from merge(pa.Table.from_batches(held))
+
+    kinds = {f.name: f.dataType.simpleString() for f in words.schema}
+    schema = ", ".join(["set_no int", *[f"`{n}` {kinds[n]}" for n in names], *[f"`label_{d}` {kinds[d]}" for d in labels], "ones bigint"])
+    spread = words.select(*names, "word_no", "word").repartition("word_no").sortWithinPartitions("word_no")
+    counted = spread.mapInArrow(merge_all, schema).groupBy("set_no", *names, *labelled).agg(F.sum("ones").alias("ones"))
     wanted = F.array(
         *[
             F.struct(F.lit(i).alias("set_no"), F.array(*[F.lit(x) for x in full]).cast("array<string>").alias("names"))

@@ -100,6 +100,18 @@ def test_distinct_counts_within_the_stated_error(spark):
     assert len(out) == len({(r.grouped_by, r.day, r.store_id, r.tier) for r in out})
 
 
+def test_merging_by_chunks_changes_nothing(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(rng.choice(["x", None]), rng.randint(1, 3), bytes(str(rng.randint(0, 900)), "ascii")) for _ in range(3000)]
+    words = distinct.bitmap_words(spark.createDataFrame(rows, "day string, store_id int, id binary"), ["day", "store_id"], ["id"], 4096)
+    whole = distinct.distinct_counts(words, ["day", "store_id"], 4096, fixed=[])
+    key = lambda df: sorted(map(str, df.collect()))
+    before = key(whole)
+    monkeypatch.setattr(distinct, "CHUNK_ROWS", 1)
+    assert key(distinct.distinct_counts(words.repartition(3), ["day", "store_id"], 4096, fixed=[])) == before and len(before) == 1 + 2 + 3 + 6
+    assert distinct.distinct_counts(words.limit(0), ["day", "store_id"], 4096, fixed=[]).count() == 0
+
+
 def test_bitmaps_merge(spark):
     rows = [(i % 5, str(i).encode()) for i in range(3000)]
     df = spark.createDataFrame(rows, "d int, id binary")

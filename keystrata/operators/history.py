@@ -84,9 +84,8 @@ def version_history(
 
     chunk = F.floor(F.col("r.sequence") / F.lit(chunk_sequences)).alias("chunk")
     chunks = rows.where(hot).select(*keys, chunk, "r")
-    # copies go before the array is built, so that a chunk's array is bounded by its sequences
-    chunks = chunks.repartition(*keys, "chunk").groupBy(*keys, "chunk", F.col("r.sequence").alias("s")).agg(F.max("r").alias("r"))
-    chunks = _changes(chunks.groupBy(*keys, "chunk").agg(gathered))
+    # as a set, so that copies go before the shuffle and a chunk's array is bounded by its sequences
+    chunks = _changes(chunks.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_set("r")).alias("a")))
     first, second = F.get(F.col("p"), F.lit(0)), F.get(F.col("p"), F.lit(1))
     edge = chunks.select(
         *keys,

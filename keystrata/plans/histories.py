@@ -9,7 +9,7 @@ from keystrata.operators.history import version_history
 from keystrata.operators.incremental import IncrementalLoad, carried_by, latest_runs
 from keystrata.sources.shared import shared_dir
 from keystrata.sources.tables import table
-from keystrata.streaming.cdc import rebuild_from_files
+from keystrata.streaming.cdc import apply_changes, change_rows, current_state, merge_upserts, rebuild_from_files
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,13 @@ FROM p WHERE NOT dead
 """
 
 
+def p1_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same versions, with every key of more than a few rows taken as one that is too large for one array."""
+    entries = table(spark, sf_dir, "internal_key")
+    versions = version_history(entries, ["store_id", "user_key"], "sequence", "tombstone", "value", group_rows=20, chunk_sequences=64)
+    return versions.select("store_id", F.hex("user_key").alias("key_hex"), "valid_from", "valid_to")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records that the next run of each store and source has to carry onward, as that run carries them.
 
@@ -79,6 +86,22 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.select("store_id", F.hex("key").alias("key_hex"), "sequence")
 
 
+def p5_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same live keys, from a feed that grows between two runs, the second of which resumes the first's state."""
+    path = shared_dir(spark, "feed")
+    feed = table(spark, sf_dir, "wal_entry")
+    halves = F.pmod(F.xxhash64("store_id", "key", "sequence", "arrived_at"), F.lit(2))
+    keys, target = ["store_id", "key"], f"{path}/upserts"
+    for half in (0, 1):
+        feed.where(halves == half).repartition(4).write.mode("append").parquet(f"{path}/changes")
+        stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 3).parquet(f"{path}/changes")
+        changes = change_rows(stream, {"store_id": "store_id", "key": "key"}, "op", "sequence", "tombstone", "value")
+        apply_changes(spark, changes, keys, target, f"{path}/state")
+        merge_upserts(spark, target, keys)
+    live = current_state(spark, target, keys, changes.schema)
+    return live.select("store_id", F.hex("key").alias("key_hex"), "sequence")
+
+
 P5_SQL = """
 WITH c AS (
   SELECT store_id, key, sequence,
@@ -90,5 +113,5 @@ SELECT store_id, hex(key) AS key_hex, max(sequence) AS sequence FROM c
 GROUP BY store_id, key HAVING NOT arg_max(dead, sequence)
 """
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found}
-SQL = {"p1_found": P1_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL}
+QUERIES = {"p1_found": p1_found, "p1_chunked": p1_chunked, "p4_found": p4_found, "p5_found": p5_found, "p5_resumed": p5_resumed}
+SQL = {"p1_found": P1_SQL, "p1_chunked": P1_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p5_resumed": P5_SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -273,13 +274,17 @@ SELECT log.store_id, count(*) AS records, max(sequence) AS last_sequence, CAST(s
 WHERE bad IS NULL OR sequence < bad GROUP BY log.store_id""")
 def wal_damaged_read(spark, sf_dir):
     """Logs written as files in which a byte of each record with a long value is damaged, and what a recovery keeps of them."""
-    rows = _encoded(log_of(spark, sf_dir))
-    at = F.octet_length("record")
-    turned = F.unhex(F.lpad(F.hex(F.conv(F.hex(F.substring(F.col("record"), at, F.lit(1))), 16, 10).cast("long").bitwiseXOR(F.lit(1))), 2, "0"))
-    damaged = F.concat(F.substring(F.col("record"), F.lit(1), at - 1), turned)
-    bytes_ = F.when(F.octet_length("value") >= BAD_BYTES, damaged).otherwise(F.col("record"))
+    def encode(batches):
+        for batch in batches:
+            records = []
+            for op, sequence, key, value, dead in zip(*(batch.column(n).to_pylist() for n in ("op", "sequence", "key", "value", "tombstone"))):
+                record = codec.encode_record(op, sequence, key, value, dead)
+                records.append(record[:-1] + bytes([record[-1] ^ 1]) if len(value) >= BAD_BYTES else record)
+            yield pa.RecordBatch.from_arrays([batch.column("store_id"), batch.column("sequence"), pa.array(records, pa.binary())], names=["store_id", "sequence", "record"])
+
+    rows = log_of(spark, sf_dir).mapInArrow(encode, "store_id bigint, sequence bigint, record binary")
     path = shared_dir(spark, "segments")
-    wal.write_segments(rows.select("store_id", "sequence", bytes_.alias("record")), path).count()
+    wal.write_segments(rows, path).count()
     return wal.recover_segments(spark, path).groupBy("store_id").agg(
         F.count("*").alias("records"), F.max("sequence").alias("last_sequence"),
         F.sum((F.octet_length("key") + F.octet_length("value")).cast("long")).alias("bytes"), F.count_if("tombstone").alias("deletes"),

@@ -124,7 +124,7 @@ def register(spark) -> None:
     spark.dataSource.register(WalDataSource)
 
 
-def write_segments(records: DataFrame, path: str, segment: int = 4096) -> DataFrame:
+def write_segments(records: DataFrame, path: str, segment: int = 1 << 16) -> DataFrame:
     """Write each store's log as segments of so many sequences, ``<store>-<number>.wal`` below ``path``; names them.
 
     ``records``: store_id, sequence, record (its bytes).  A segment is bounded, so a store's log is written by many

@@ -31,10 +31,37 @@ def secondary_index(df: DataFrame, attribute: str, key: str) -> DataFrame:
     return df.dropna(subset=[attribute, key]).select(attribute, key).repartitionByRange(attribute, key).sortWithinPartitions(attribute, key)
 
 
-def postings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Inverted index: (term, key, count) over lower-case ASCII words of whole texts."""
-    terms = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
-    return use_all_cores(df.where(F.col(key).isNotNull()).select(key, text)).select(key, F.explode(terms).alias("term")).groupBy("term", key).agg(F.count("*").alias("n"))
+#: Runs of letters and digits of any script, and of ASCII alone.
+ANY_WORDS, ASCII_WORDS = r"[^\p{L}\p{N}]+", "[^a-z0-9]+"
+
+
+def postings(df: DataFrame, key: str, text: str, between: str = ASCII_WORDS, positions: bool = False) -> DataFrame:
+    """Inverted index: (term, key, n) over the lower-case words of whole texts, with their ``positions`` if asked.
+
+    ``between`` is the pattern of what stands between words.  ``positions`` (from 0, ascending) are places among the
+    text's words.  Rows with a null key or text are not indexed.  A key in several rows has its texts counted together,
+    each with its own positions from 0 on.
+    """
+    words = F.filter(F.split(F.lower(F.col(text)), between), lambda t: t != "")
+    rows = use_all_cores(df.dropna(subset=[key, text]).select(F.col(key).alias("key"), F.col(text).alias("text")))
+    if not positions:
+        return rows.select(F.col("key").alias(key), F.explode(words).alias("term")).groupBy("term", key).agg(F.count("*").alias("n"))
+    placed = rows.select("key", F.posexplode(words).alias("place", "term"))
+    found = placed.groupBy("term", "key").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("place")).alias("positions"))
+    return found.select("term", F.col("key").alias(key), "n", "positions")
+
+
+def phrase(index: DataFrame, key: str, terms: list[str]) -> DataFrame:
+    """(key, starts): where the terms stand one after the other, from an index with positions.
+
+    Each list is moved back by its term's place in the phrase, and the lists of a document are intersected.
+    """
+    found = None
+    for i, term in enumerate(terms):
+        moved = F.transform("positions", lambda p: p - F.lit(i))
+        one = index.where(F.col("term") == term).select(key, moved.alias("here"))
+        found = one.withColumnRenamed("here", "starts") if found is None else found.join(one, key).select(key, F.array_intersect("starts", "here").alias("starts"))
+    return found.where(F.size("starts") > 0)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:

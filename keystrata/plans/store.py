@@ -706,6 +706,18 @@ def inverted_index(spark, sf_dir):
     return index.groupBy("term").agg(F.count("*").alias("documents"), F.sum("n").alias("occurrences"))
 
 
+PHRASE = ["on", "the", "way"]
+
+
+@query(f"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, list_filter(range(len(w)), lambda i: w[i + 1] = '{PHRASE[0]}' AND w[i + 2] = '{PHRASE[1]}' AND w[i + 3] = '{PHRASE[2]}') AS starts FROM t)
+SELECT doc_id, len(starts) AS occurrences, starts[1] AS first_start FROM s WHERE len(starts) > 0""")
+def phrase_search(spark, sf_dir):
+    """Documents that have three words one after the other, from lists of positions."""
+    found = indexes.phrase(indexes.postings(table(spark, sf_dir, "documents"), "doc_id", "text", positions=True), "doc_id", PHRASE)
+    return found.select("doc_id", F.size("starts").cast("long").alias("occurrences"), F.array_min("starts").cast("long").alias("first_start"))
+
+
 @query("""WITH q AS (SELECT vec_id AS query, embedding AS a FROM embeddings WHERE vec_id % 50 = 0),
 d AS (SELECT query, vec_id AS neighbour, list_distance(a::DOUBLE[], embedding::DOUBLE[]) AS distance FROM q, embeddings WHERE vec_id <> query),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, neighbour) AS rank FROM d)

@@ -84,25 +84,28 @@ def apply_changes(
     query.awaitTermination()
 
 
-def current_state(spark: SparkSession, target: str, keys: list[str], schema) -> DataFrame:
-    """The live rows (``keys``, ``sequence``, ``value``) after all batches written below ``target``.
+def latest_entries(spark: SparkSession, target: str, keys: list[str], schema) -> DataFrame:
+    """The newest change of each key (``keys``, ``sequence``, ``deleted``, ``value``) in all batches written below ``target``.
 
-    A key's newest upsert decides.  One batch holds a key once, so with a single batch nothing is left to merge.
+    One batch holds a key once, so with a single batch nothing is left to merge.
     """
     versions = [n for n in SharedFiles(spark, target).list("") if n.startswith("version=")]
     if not versions:
-        return spark.createDataFrame([], schema).select(*keys, "sequence", "value")
+        return spark.createDataFrame([], schema).select(*keys, "sequence", "deleted", "value")
     rows = spark.read.parquet(*[f"{target}/{v}" for v in versions])
-    if len(versions) > 1:
-        rows = latest_changes(rows, keys).select(*keys, "last.*")
-    return rows.where(~F.col("deleted")).select(*keys, "sequence", "value")
+    return latest_changes(rows, keys).select(*keys, "last.*") if len(versions) > 1 else rows
+
+
+def current_state(spark: SparkSession, target: str, keys: list[str], schema) -> DataFrame:
+    """The live rows (``keys``, ``sequence``, ``value``) after all batches written below ``target``."""
+    return latest_entries(spark, target, keys, schema).where(~F.col("deleted")).select(*keys, "sequence", "value")
 
 
 def merge_upserts(spark: SparkSession, target: str, keys: list[str]) -> None:
     """Merge all upsert folders but the newest into one, so that their number does not grow with the batches.
 
     The merged folder takes the number of the last that it replaces.  It is whole before any of those goes, and
-    ``latest_changes`` of it beside them is the same, so readers that list the folders see the same state throughout.
+    ``latest_changes`` of it beside them is the same, so readers that begin at any time see the same state.
     """
     files = SharedFiles(spark, target)
     versions = sorted((n for n in files.list("") if n.startswith("version=")), key=lambda n: int(n.split("=")[1].split("-")[0]))

@@ -1,4 +1,4 @@
-"""Change feeds: watching a key range, and a live view of the current content."""
+"""Change feeds: watching a key range, and a live table of the current content."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from keystrata.operators.reads import KEY
-from keystrata.streaming.cdc import change_rows
+from keystrata.streaming.cdc import apply_changes, change_rows, current_state, latest_entries, merge_upserts
+
+CHANGES = "store_id bigint, key binary, sequence bigint, deleted boolean, value binary"
 
 
 def log_stream(spark: SparkSession, path: str, schema, *, files_per_batch: int = 32) -> DataFrame:
@@ -32,10 +34,25 @@ def write_feed(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery
     )
 
 
-def live_view(changes: DataFrame, name: str) -> StreamingQuery:
-    """Keep the newest entry of each key, tombstones included, in a table in memory; for small key spaces and tests.
+class LiveTable:
+    """The current content of a change feed, kept on shared storage; ``refresh`` takes in what has come since.
 
-    Sequence alone decides, however late a change comes, so there is no watermark; state grows with the keys.
+    State and upserts are those of ``apply_changes``: sequence alone decides, however late a change comes, so there is
+    no watermark, and state grows with the keys.  Nothing is kept on the driver.
     """
-    newest = changes.groupBy(*KEY).agg(F.max(F.struct("sequence", "deleted", "value")).alias("e")).select(*KEY, "e.*")
-    return newest.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def refresh(self, changes: DataFrame) -> None:
+        """Apply all changes that the stream (store_id, key, sequence, deleted, value) has by now, and merge old upserts."""
+        apply_changes(self.spark, changes, KEY, f"{self.root}/upserts", f"{self.root}/state")
+        merge_upserts(self.spark, f"{self.root}/upserts", KEY)
+
+    def entries(self) -> DataFrame:
+        """The newest change of each key, deletes included."""
+        return latest_entries(self.spark, f"{self.root}/upserts", KEY, CHANGES)
+
+    def rows(self) -> DataFrame:
+        """The live keys with sequence and value."""
+        return current_state(self.spark, f"{self.root}/upserts", KEY, CHANGES)

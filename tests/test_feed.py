@@ -1,10 +1,11 @@
 from keystrata.sources.shared import shared_dir
-from keystrata.streaming.feed import live_view, log_stream, watch, write_feed
+from keystrata.sources.shared import SharedFiles
+from keystrata.streaming.feed import LiveTable, log_stream, watch, write_feed
 
 SCHEMA = "store_id bigint, op string, sequence bigint, key binary, value binary, tombstone boolean"
 
 
-def test_watch_and_live_view(spark, tmp_path):
+def test_watch_and_live_table(spark, tmp_path):
     path, work = str(tmp_path / "log"), shared_dir(spark, "feed")
     first = [(1, "put", 2, b"a", b"2", False), (1, "del", 3, b"b", None, True)]
     second = [(1, "put", 1, b"a", b"1", False), (1, "put", 4, b"c", b"4", False), (1, "put", 2, b"b", b"x", False)]
@@ -15,5 +16,12 @@ def test_watch_and_live_view(spark, tmp_path):
         write_feed(stream, f"{work}/out", f"{work}/state").awaitTermination()
         seen.append(sorted(r.sequence for r in spark.read.parquet(f"{work}/out").collect()))
     assert seen == [[3], [2, 3, 4]]
-    live_view(log_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=1), "view").awaitTermination()
-    assert {bytes(r.key): (r.sequence, r.deleted) for r in spark.table("view").collect()} == {b"a": (2, False), b"b": (3, True), b"c": (4, False)}
+    live = LiveTable(spark, f"{work}/live")
+    assert live.rows().count() == 0
+    for _ in range(2):  # nothing new comes the second time
+        live.refresh(log_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=1))
+    assert {bytes(r.key): (r.sequence, r.deleted) for r in live.entries().collect()} == {b"a": (2, False), b"b": (3, True), b"c": (4, False)}
+    spark.createDataFrame([(1, "put", 9, b"b", b"9", False), (1, "del", 1, b"c", None, True)], SCHEMA).write.mode("append").parquet(path)
+    live.refresh(log_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=1))
+    assert {bytes(r.key): r.sequence for r in live.rows().collect()} == {b"a": 2, b"b": 9, b"c": 4}
+    assert len(SharedFiles(spark, f"{work}/live/upserts").list("")) <= 2

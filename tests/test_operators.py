@@ -345,3 +345,19 @@ def test_ring_and_ranges(spark):
     sizes = {r.p: r["count"] for r in df.groupBy(indexes.range_of(F.col("k"), bounds).alias("p")).count().collect()}
     assert len(bounds) == 7 and sorted(sizes) == list(range(8)) and max(sizes.values()) < 800
     assert indexes.range_bounds(df.limit(0), "k", 8) == [] and df.select(indexes.range_of(F.lit(None), bounds).alias("p")).first().p == 0
+
+
+def test_phrases_against_brute_force(spark):
+    rng = random.Random(4)
+    texts = [(i, " ".join(rng.choice(["Да", "нет", "a", "b"]) + rng.choice(["", ",", "!"]) for _ in range(40))) for i in range(60)] + [(90, ""), (91, None), (None, "a b a")]
+    df = spark.createDataFrame(texts, "term bigint, text string")
+    index = indexes.postings(df.withColumnRenamed("term", "doc").withColumn("term", F.lit("clash")), "doc", "text", indexes.ANY_WORDS, positions=True)
+    got = {r.doc: sorted(r.starts) for r in indexes.phrase(index, "doc", ["да", "a", "да"]).collect()}
+    want = {}
+    for i, t in texts[:60]:
+        w = [x.strip(",!").lower() for x in t.split()]
+        at = [k for k in range(38) if w[k : k + 3] == ["да", "a", "да"]]
+        if at:
+            want[i] = at
+    assert got == want and got
+    assert indexes.phrase(index, "doc", ["none", "a"]).count() == 0
